@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronodoc.llm import cuckoo, encoding, enrichment, leakage, quality, termstats
+from chronodoc.llm import cuckoo, encoding, enrichment, leakage, quality, similar, termstats
 from chronodoc.plans.tables import table
 
 
@@ -35,6 +35,10 @@ def p4_index_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return termstats.index_drift(table(spark, sf_dir, "text_docs"), table(spark, sf_dir, "fts_postings"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.nearest_pairs(table(spark, sf_dir, "vec_docs"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrichment.most_distinctive(enrichment.term_enrichment(table(spark, sf_dir, "text_docs")))
 
@@ -100,6 +104,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_terms": p4_terms,
     "p4_index_drift": p4_index_drift,
+    "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_scores": p7_scores,
     "p8_ids": p8_ids,
@@ -123,6 +128,13 @@ both_sides AS (SELECT coalesce(s.term, k.term) AS term, coalesce(occurrences, 0)
          coalesce(index_occurrences, 0) AS index_occurrences, coalesce(index_records, 0) AS index_records
          FROM stats s FULL JOIN kept k ON s.term = k.term)
 SELECT * FROM both_sides WHERE occurrences <> index_occurrences OR records <> index_records""",
+    "p6_found": """WITH
+cur AS (SELECT id, embedding AS e FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sequence DESC NULLS LAST) AS r FROM vec_docs)
+        WHERE r = 1 AND id IS NOT NULL AND len(embedding) = 64
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+sims AS (SELECT a.id AS x, b.id AS y, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM cur a, cur b WHERE a.id <> b.id),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY sim DESC, y) AS r FROM sims)
+SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM firsts WHERE r <= 3 AND sim >= 0.8""",
     "p7_found": f"""WITH {CURRENT},
 weighed AS (SELECT id, c.term, round(f * ln(n_docs / records), 6) AS w FROM counts c JOIN stats s ON c.term = s.term, size WHERE records >= 2)
 SELECT id, term FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, term) AS r FROM weighed) WHERE r = 1""",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronodoc.plans import feeds
+from chronodoc.plans import documents, feeds
 
-MODULES = [feeds]
+MODULES = [documents, feeds]
 
 
 def queries() -> dict:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEPARATORS = r"[^\p{L}\p{M}\p{N}]+"
+from chronodoc.functions.text import default_analyzer as terms
 
 
 def current_texts(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -20,11 +20,6 @@ def current_texts(docs: DataFrame, key: str = "id", text: str = "text") -> DataF
     return docs.groupBy(F.col(key).alias("id")).agg(top).select("id", F.col("_t.text").alias("text")).where("text is not null")
 
 
-def terms(text: Column) -> Column:
-    """The terms of a text in order: maximal runs of L, M, N of the lower-cased text."""
-    return F.filter(F.split(F.lower(text), SEPARATORS), lambda t: t != "")
-
-
 def record_terms(texts: DataFrame) -> DataFrame:
     """(id, term, f): count of every distinct term in every record; records without terms give no row.
 

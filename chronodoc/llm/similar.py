@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronodoc.llm import anisotropic
@@ -15,7 +16,7 @@ from chronodoc.session import bounded, scratch
 
 #: Vectors the index is fitted on (the index itself holds every vector).
 SAMPLE = 32_768
-#: Cells searched per vector, at least; above 512 cells one in 32.
+#: Cells searched per vector.
 PROBES = 16
 #: Pairs compared exactly at a time; bounds a worker's memory, not the result.
 EXACT_AT_ONCE = 1 << 16
@@ -27,25 +28,31 @@ QUERY_CHUNK = 64
 
 
 def valid_vectors(docs: DataFrame, dim: int = 64) -> DataFrame:
-    """(id, vec): unit vectors of the current versions that have ``dim`` finite elements, not all zero.
+    """(id, vec, cls): unit vectors of the current versions that have ``dim`` finite elements, not all zero.
 
     Current: the row with the highest sequence of an id; equal sequences: the larger array; null sequences lose.
     Null ids, and null, shorter, longer, null-, NaN- or infinity-holding and all-zero embeddings give no row.
+    ``cls`` is a 128-bit name of the direction, equal for copies and scaled copies (to 12 decimals).
     """
     top = F.max(F.struct("sequence", "embedding")).alias("_t")
     cur = docs.where(F.col("id").isNotNull()).groupBy("id").agg(top).select("id", F.col("_t.embedding").alias("e"))
-    bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    cur = cur.where((F.size("e") == dim) & ~bad)
-    big = F.array_max(F.transform("e", lambda x: F.abs(x)))  # scaled first, so that squares cannot overflow
-    cur = cur.withColumn("_m", big).where(F.col("_m") > 0).withColumn("e", F.transform("e", lambda x: x / F.col("_m")))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x * x))
-    return cur.withColumn("_n", norm).select("id", F.transform("e", lambda x: x / F.col("_n")).alias("vec"))
 
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pc.fill_null(pc.equal(pc.list_value_length(b.column(1)), dim), False))
+            if not b.num_rows:
+                continue
+            x = pc.fill_null(b.column(1).flatten(), float("nan")).to_numpy(zero_copy_only=False).reshape(-1, dim)
+            big = np.abs(x).max(1)
+            good = np.isfinite(big) & (big > 0)
+            x = x[good] / big[good, None]  # scaled first, so that squares cannot overflow
+            x /= np.linalg.norm(x, axis=1)[:, None]
+            named = np.round(x, 12) + 0.0
+            cls = [hashlib.blake2b(r.tobytes(), digest_size=16).hexdigest() for r in named]
+            lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * dim, pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), lists, pa.array(cls, pa.string())], names=["id", "vec", "cls"])
 
-def direction(vec: Column) -> Column:
-    """128-bit name of a direction: equal for scaled copies (to 12 decimals)."""
-    r = F.transform(vec, lambda x: F.round(x, 12) + F.lit(0.0))
-    return F.concat(F.hex(F.xxhash64(r)), F.lit("-"), F.hex(F.xxhash64(F.lit(71), F.reverse(r))))
+    return cur.mapInArrow(unit, "id string, vec array<double>, cls string")
 
 
 def _index(model: anisotropic.Model, probes: int):
@@ -153,7 +160,7 @@ def similar_directions(directions: DataFrame, dim: int, wanted: float) -> DataFr
     cells = anisotropic.coarse_cells(n)
     model = anisotropic.train(x, cells)
     sent = spark.sparkContext.broadcast(model)
-    probes = min(cells, max(PROBES, cells // 32))
+    probes = min(cells, PROBES)
 
     def index(batches):
         return _index(sent.value, probes)(batches)
@@ -187,7 +194,7 @@ def nearest_pairs(docs: DataFrame, *, k: int = 3, wanted: float = 0.8, dim: int
     """
     spark = docs.sparkSession
     path = scratch(spark, "vectors")
-    valid_vectors(docs, dim).withColumn("cls", direction(F.col("vec"))).write.parquet(path)
+    valid_vectors(docs, dim).write.parquet(path)
     all_rows = spark.read.parquet(path)
     ranked = all_rows.withColumn("_r", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).where(F.col("_r") <= k + 1)
     where = scratch(spark, "classes")

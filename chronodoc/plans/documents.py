@@ -15,6 +15,7 @@ from chronodoc.functions.text import default_analyzer, stopword_analyzer
 from chronodoc.operators import batch, fulltext, indexes, knn, paging, scans, versions
 from chronodoc.operators.indexes import Index
 from chronodoc.plans.tables import table
+from chronodoc.session import scratch
 from chronodoc.sources.store import table_levels
 
 QUERIES: dict = {}
@@ -280,6 +281,16 @@ def fts_lookup_docs(spark, d):
     return docs.join(F.broadcast(found), "id").select("id", "lang", "score")  # 10 rows
 
 
+@query(_bm25(["pressure", "sensor"], limit="LIMIT 25"))
+def fts_stored_index(spark, d):
+    """The same search over postings written to the shared folder, sorted by term."""
+    postings, lengths = fulltext.build_index(_docs(spark, d), "text")
+    at = scratch(spark, "postings")
+    postings.repartition("term").sortWithinPartitions("term", "id").write.parquet(f"{at}/postings")
+    lengths.write.parquet(f"{at}/lengths")
+    return fulltext.search_index(spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/lengths"), ["pressure", "sensor"], 25)
+
+
 Q0 = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 
 

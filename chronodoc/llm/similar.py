@@ -17,7 +17,7 @@ from chronodoc.session import bounded, scratch
 #: Vectors the index is fitted on (the index itself holds every vector).
 SAMPLE = 32_768
 #: Cells searched per vector.
-PROBES = 16
+PROBES = 24
 #: Pairs compared exactly at a time; bounds a worker's memory, not the result.
 EXACT_AT_ONCE = 1 << 16
 #: Best found per query and cell block that are passed on; more than k + 1, as each pair counts for both sides.

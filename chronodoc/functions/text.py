@@ -13,7 +13,7 @@ SEPARATORS = r"[^\p{L}\p{M}\p{N}]+"
 
 def default_analyzer(text: Column) -> Column:
     """Terms in order: maximal runs of letters, marks and numbers of the lower-cased text. Null stays null."""
-    return F.filter(F.split(F.lower(text), SEPARATORS), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), SEPARATORS), "")
 
 
 def stopword_analyzer(words: Iterable[str]) -> Analyzer:

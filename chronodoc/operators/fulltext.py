@@ -8,14 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronodoc.functions.text import Analyzer, default_analyzer
+from chronodoc.session import checkpointed
 
 K1, B = 1.5, 0.75
 
 
 def tokenized(docs: DataFrame, text: str, analyzer: Analyzer = default_analyzer) -> DataFrame:
-    """(id, tokens, doc_len); null text counts as a document without tokens."""
+    """(id, tokens, doc_len); null text counts as a document without tokens.
+
+    The tokens go through a one-element generator: without it the optimizer would copy the tokenising expression
+    to every use of the column.
+    """
     tokens = F.coalesce(analyzer(F.col(text)), F.array().cast("array<string>"))
-    return docs.select("id", tokens.alias("tokens")).withColumn("doc_len", F.size("tokens").cast("long"))
+    return docs.select("id", F.explode(F.array(tokens)).alias("tokens")).withColumn("doc_len", F.size("tokens").cast("long"))
 
 
 def term_postings(docs: DataFrame, text: str, analyzer: Analyzer = default_analyzer) -> DataFrame:
@@ -42,25 +47,21 @@ def _ranked(held: DataFrame, distinct: list[str], terms: Sequence[str], limit: i
     return found if limit is None else found.limit(max(0, limit))
 
 
-def _is(word: str):
-    return lambda t: t == F.lit(word)
-
-
 def search(docs: DataFrame, text: str, query: str | Sequence[str], limit: int | None = None, *, analyzer: Analyzer = default_analyzer) -> DataFrame:
     """(id, score): documents that hold every token of the query, by BM25, ties by id; no limit means all.
 
     A token repeated in the query counts repeatedly; an empty query finds nothing. Scores are rounded to 6
-    decimals before ordering. Plan: the texts are tokenised in one scan; term counts of the (few) query terms
-    are taken per document inside that scan, so nothing is exploded and the only shuffles are one row of
-    collection figures and the top-k.
+    decimals before ordering. Plan: the texts are tokenised in one scan, eagerly; lengths and counts of the (few)
+    query terms, some numbers a document, are checkpointed, and figures and scores come from them. Nothing is
+    exploded; the only shuffles are one row of collection figures and the top-k.
     """
     terms = list(query) if not isinstance(query, str) else query_terms(docs.sparkSession, query, analyzer)
     if not terms:
         return docs.select("id").limit(0).withColumn("score", F.lit(0.0))
     distinct = sorted(set(terms))
     toks = tokenized(docs, text, analyzer)
-    tf = [F.size(F.filter("tokens", _is(w))).cast("long").alias(f"tf{i}") for i, w in enumerate(distinct)]
-    rows = toks.select("id", "doc_len", *tf)
+    tf = [(F.size("tokens") - F.size(F.array_remove("tokens", w))).cast("long").alias(f"tf{i}") for i, w in enumerate(distinct)]
+    rows = checkpointed(toks.select("id", "doc_len", *tf))
     figures = rows.agg(
         F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("total"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(distinct))]
     )

@@ -1,4 +1,4 @@
-"""Most similar vectors for every vector: cells, anisotropic 4-bit codes scanned by tables, exact reranking."""
+"""Most similar vectors for every vector: cells, bounds by angles, scan of anisotropic 4-bit codes (decoded a block at a time), exact reranking."""
 
 from __future__ import annotations
 
@@ -16,15 +16,14 @@ from chronodoc.session import bounded, scratch
 
 #: Vectors the index is fitted on (the index itself holds every vector).
 SAMPLE = 32_768
-#: Cells searched per vector.
-PROBES = 24
-#: Pairs compared exactly at a time; bounds a worker's memory, not the result.
-EXACT_AT_ONCE = 1 << 16
-#: Best found per query and cell block that are passed on; more than k + 1, as each pair counts for both sides.
-PASS_ON = 8
-#: Vectors of one block of a cell; larger cells are cut into blocks for different tasks.
-CELL_BLOCK = 8_192
-QUERY_CHUNK = 64
+#: Members of a cell are kept apart by their angle from its centre, in rings of this width (radians); the last is open.
+RING, RINGS = 0.2, 8
+#: Allowance for rounding in bounds by angles and single-precision cosines; lets more pairs through, never fewer.
+SLACK = 1e-4
+#: Most base vectors of a block and most queries of a task.
+BLOCK, QUERIES = 32_768, 32_768
+#: Base vectors and pairs compared at a time; bound a worker's memory, not the result.
+RUN, EXACT_AT_ONCE = 2_048, 1 << 19
 
 
 def valid_vectors(docs: DataFrame, dim: int = 64) -> DataFrame:
@@ -55,19 +54,21 @@ def valid_vectors(docs: DataFrame, dim: int = 64) -> DataFrame:
     return cur.mapInArrow(unit, "id string, vec array<double>, cls string")
 
 
-def _index(model: anisotropic.Model, probes: int):
+def _index(model: anisotropic.Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
                 x = _matrix(part.column(1), model.dim)
-                cells = model.nearest_cells(x, probes)
-                codes = model.pack(model.encode(x.astype(np.float32), cells[:, 0]))
-                unpacked = np.stack([codes & 15, codes >> 4], 2).reshape(len(codes), -1)
-                error = np.linalg.norm(x - model.decode(unpacked, cells[:, 0]), axis=1) + 1e-6
+                cell = model.nearest_cells(x, 1)[:, 0]
+                codes = model.pack(model.encode(x.astype(np.float32), cell))
+                error = np.linalg.norm(x - model.decode(_unpacked(codes), cell), axis=1) + 1e-5  # and single-precision sums
+                angle = _angle((x * _directions(model)[cell]).sum(1))
+                unit = cell * RINGS + _ring(angle)
                 packed = pa.array([c.tobytes() for c in codes], pa.binary())
-                lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * cells.shape[1], pa.array(cells.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, packed, pa.array(error)], names=["rep", "vec", "cells", "code", "error"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(unit.astype(np.int32)), pa.array(angle), packed, pa.array(error)], names=["rep", "vec", "unit", "angle", "code", "error"]
+                )
 
     return run
 
@@ -76,73 +77,165 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(col.flatten()).reshape(-1, dim)
 
 
-def _search(model: anisotropic.Model, wanted: float):
-    """Rows (cell, block, kind, rep, vec, code, error), sorted by cell, block and kind: base vectors (0), then queries (1)."""
-
-    def answer(cell: int, base: list[pa.RecordBatch], queries: pa.RecordBatch) -> pa.RecordBatch | None:
-        names = pa.chunked_array([b.column(3) for b in base]).combine_chunks()
-        vecs = np.concatenate([_matrix(b.column(4), model.dim) for b in base])
-        codes = np.stack([np.frombuffer(c, np.uint8) for b in base for c in b.column(5).to_pylist()])
-        error = np.concatenate([np.asarray(b.column(6)) for b in base])[None, :]
-        q_all = _matrix(queries.column(4), model.dim)
-        rank = pc.rank(names, sort_keys="ascending").to_numpy().astype(np.int64)
-        own = pc.fill_null(pc.index_in(queries.column(3), names), -1).to_numpy()
-        own = np.where(own >= 0, rank[own], -1)
-        q_out, b_out, s_out = [], [], []
-        for at in range(0, len(q_all), QUERY_CHUNK):
-            q = q_all[at : at + QUERY_CHUNK]
-            tables = model.tables(q.astype(np.float32))
-            approx = np.repeat((q.astype(np.float32) @ model.centres[cell])[:, None], len(codes), 1)
-            for j in range(codes.shape[1]):
-                approx += tables[:, j][:, codes[:, j]]
-            # a coded vector lies within its error of the true one, so no pair of the wanted similarity is left out
-            qs, cs = np.nonzero(approx >= wanted - error)
-            for lo in range(0, len(qs), EXACT_AT_ONCE):
-                qi, ci = qs[lo : lo + EXACT_AT_ONCE], cs[lo : lo + EXACT_AT_ONCE]
-                sim = np.round(np.einsum("nd,nd->n", q[qi], vecs[ci]), 6)
-                good = (sim >= wanted) & (own[qi + at] != rank[ci])
-                qi, ci, sim = qi[good], ci[good], sim[good]
-                order = np.lexsort((rank[ci], -sim, qi))
-                qi, ci, sim = qi[order], ci[order], sim[order]
-                turn = np.arange(len(qi)) - np.searchsorted(qi, qi)
-                first = turn < PASS_ON
-                q_out.append(qi[first] + at)
-                b_out.append(ci[first])
-                s_out.append(sim[first])
-        if not q_out:
-            return None
-        qi, bi = np.concatenate(q_out), np.concatenate(b_out)
+def _unpacked(codes: np.ndarray) -> np.ndarray:
+    return np.stack([codes & 15, codes >> 4], 2).reshape(len(codes), -1)
+
+
+def _directions(model: anisotropic.Model) -> np.ndarray:
+    """The centres in double precision, of length 1, as the bounds by angles ask for."""
+    c = model.centres.astype(np.float64)
+    return c / np.maximum(np.linalg.norm(c, axis=1), 1e-12)[:, None]
+
+
+def _angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1.0, 1.0))
+
+
+def _ring(angle: np.ndarray) -> np.ndarray:
+    return np.minimum((angle / RING).astype(np.int64), RINGS - 1)
+
+
+def _blocks(centres: np.ndarray, unit: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per unit its first block and the number of blocks it is cut into; near units of a ring share a block of at most ``size`` rows."""
+    first, pieces, at = np.zeros(len(unit), np.int64), np.ones(len(unit), np.int64), 0
+    todo = [np.flatnonzero(unit % RINGS == r) for r in range(RINGS)]
+    while todo:
+        mine = todo.pop()
+        if not len(mine):
+            continue
+        if len(mine) == 1 or rows[mine].sum() <= size:
+            first[mine] = at
+            pieces[mine] = -(-rows[mine].sum() // size)
+            at += int(pieces[mine[0]])
+            continue
+        c = centres[unit[mine] // RINGS]
+        along = c @ np.linalg.svd(c - c.mean(0), full_matrices=False)[2][0]
+        mine = mine[np.argsort(along, kind="stable")]
+        half = int(np.clip(np.searchsorted(np.cumsum(rows[mine]), rows[mine].sum() / 2), 1, len(mine) - 1))
+        todo += [mine[:half], mine[half:]]
+    return first, pieces
+
+
+def _ask(model: anisotropic.Model, unit: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, pieces: np.ndarray, wanted: float):
+    """Rows (rep, vec) to (rep, vec, asks): every block with a unit whose angles from its centre do not exclude the wanted similarity."""
+    order = np.argsort(first, kind="stable")
+    cell, starts = unit[order] // RINGS, np.flatnonzero(np.diff(first[order], prepend=-1))
+    reach = float(_angle(np.float64(wanted - 1e-6))) + SLACK
+    # a query at angle t from the centre can reach members at angles low to high only if low - reach <= t <= high + reach
+    least = np.cos(np.minimum(np.pi, high[order] + reach)) - SLACK
+    most = np.cos(np.maximum(0.0, low[order] - reach)) + SLACK
+    ids = [np.arange(f, f + n) for f, n in zip(first[order][starts], pieces[order][starts], strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = _directions(model).astype(np.float32)
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                t = (_matrix(part.column(1), model.dim).astype(np.float32) @ centres.T)[:, cell]
+                asked = np.logical_or.reduceat((t >= least) & (t <= most), starts, axis=1)
+                lists = [np.concatenate([ids[i] for i in np.flatnonzero(row)] or [np.empty(0, np.int64)]) for row in asked]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["rep", "vec", "asks"])
+
+    return run
+
+
+def _search(model: anisotropic.Model, wanted: float, keep: int):
+    """Rows (task, kind, rep, vec, unit, angle, code, error), sorted by task and kind: base vectors (0), then queries (1)."""
+    wanted6 = round(wanted * 1e6)
+    low32 = (1 << 32) - 1
+
+    def answer(base: list[pa.RecordBatch], queries: pa.RecordBatch) -> pa.RecordBatch | None:
+        names = pa.chunked_array([b.column(2) for b in base]).combine_chunks()
+        x = np.concatenate([_matrix(b.column(3), model.dim) for b in base])
+        unit, angle, error = (np.concatenate([np.asarray(b.column(i)) for b in base]) for i in (4, 5, 7))
+        codes = np.stack([np.frombuffer(c, np.uint8) for b in base for c in b.column(6).to_pylist()])
+        coded = model.decode(_unpacked(codes), unit // RINGS)
+        place = low32 - pc.rank(names, sort_keys="ascending").to_numpy().astype(np.int64)  # larger for smaller names
+        q = _matrix(queries.column(3), model.dim)
+        own = pc.fill_null(pc.index_in(queries.column(2), names), -1).to_numpy()
+        q32, centres = q.astype(np.float32), _directions(model)
+        order = np.lexsort((angle, unit))
+        runs = np.split(order, np.flatnonzero(np.diff(unit[order])) + 1)
+        nearness = centres @ q.mean(0)
+        runs.sort(key=lambda r: -nearness[unit[r[0]] // RINGS])
+        # the best found so far per query: similarity in millionths above 32 bits of the name's place, best first
+        best, at = np.full((len(q), keep), -1, np.int64), np.full((len(q), keep), -1, np.int64)
+        floor = np.full(len(q), wanted6, np.int64)  # nothing of a lower similarity can get among them
+        for run in runs:
+            t = _angle(q @ centres[unit[run[0]] // RINGS])
+            for lo in range(0, len(run), RUN):
+                ci = run[lo : lo + RUN]
+                reach = _angle((floor - 1) / 1e6) + SLACK
+                asking = np.flatnonzero((t - angle[ci].max() <= reach) & (angle[ci].min() - t <= reach))
+                step = max(1, EXACT_AT_ONCE // len(ci))
+                for a in range(0, len(asking), step):
+                    compare(asking[a : a + step], ci, q, q32, x, coded, error, place, own, floor, best, at)
+        qi, turn = np.nonzero(best >= 0)
         if not len(qi):
             return None
-        return pa.RecordBatch.from_arrays([queries.column(3).take(pa.array(qi)), names.take(pa.array(bi)), pa.array(np.concatenate(s_out))], names=["a", "b", "sim"])
+        sims = (best[qi, turn] >> 32) / 1e6
+        return pa.RecordBatch.from_arrays([queries.column(2).take(pa.array(qi)), names.take(pa.array(at[qi, turn])), pa.array(sims)], names=["a", "b", "sim"])
+
+    def compare(asking, ci, q, q32, x, coded, error, place, own, floor, best, at) -> None:
+        # a coded vector lies within its error of the true one, so no pair that could be among the best is left out
+        near = q32[asking] @ coded[ci].T >= ((floor[asking] - 1) / 1e6)[:, None] - error[ci][None, :]
+        some = np.count_nonzero(near)
+        least = np.maximum(best[asking, -1], (wanted6 << 32) - 1)
+        if some * 8 > near.size:  # most have to be compared exactly: all at once
+            key = (np.rint((q[asking] @ x[ci].T) * 1e6).astype(np.int64) << 32) + place[ci][None, :]
+            qs, cs = np.nonzero(key > least[:, None])
+            key = key[qs, cs]
+        elif some:
+            qs, cs = np.nonzero(near)
+            key = (np.rint(np.einsum("nd,nd->n", q[asking[qs]], x[ci[cs]]) * 1e6).astype(np.int64) << 32) + place[ci[cs]]
+            good = key > least[qs]
+            qs, cs, key = qs[good], cs[good], key[good]
+        else:
+            return
+        qs, cs = asking[qs], ci[cs]
+        other = own[qs] != cs
+        qs, cs, key = qs[other], cs[other], key[other]
+        if not len(qs):
+            return
+        who = np.unique(qs)
+        qs = np.concatenate([np.repeat(who, keep), qs])
+        cs = np.concatenate([at[who].ravel(), cs])
+        key = np.concatenate([best[who].ravel(), key])
+        order = np.lexsort((-key, qs))
+        turn = np.arange(len(qs)) - np.searchsorted(qs[order], qs[order])
+        order = order[turn < keep]
+        best[who], at[who] = key[order].reshape(-1, keep), cs[order].reshape(-1, keep)
+        floor[who] = np.maximum(wanted6, best[who, -1] >> 32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, base = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([np.asarray(batch.column(i)) for i in range(3)], 1)
+            key = np.stack([np.asarray(batch.column(i)) for i in range(2)], 1)
             cuts = [0, *(np.flatnonzero((np.diff(key, axis=0) != 0).any(1)) + 1).tolist(), len(key)]
             for x, y in zip(cuts, cuts[1:], strict=False):
-                part, (cell, block, kind) = batch.slice(x, y - x), key[x]
-                if (cell, block) != here:
-                    here, base = (cell, block), []
+                part, (task, kind) = batch.slice(x, y - x), key[x]
+                if task != here:
+                    here, base = task, []
                 if kind == 0:
                     base.append(part)
                 elif base:
-                    out = answer(int(cell), base, part)
+                    out = answer(base, part)
                     if out is not None:
                         yield out
 
     return run
 
 
-def similar_directions(directions: DataFrame, dim: int, wanted: float) -> DataFrame:
-    """(a, b, sim), one way or both: pairs of different ``rep`` with a cosine of at least ``wanted`` found by the index.
+def similar_directions(directions: DataFrame, dim: int, wanted: float, keep: int = 4) -> DataFrame:
+    """(a, b, sim): for every ``rep`` a at least its first ``keep`` others b with a cosine of at least ``wanted``, none missed.
 
     ``directions``: rep (unique string), vec (unit vector). The index is fitted on about ``SAMPLE`` vectors chosen by
-    hash and holds all of them. Every vector lies in its best cell and asks its ``PROBES`` best cells; a pair is
-    found if either asks the other's cell. Similarities are exact cosines rounded to 6 decimals.
+    hash and holds all of them. Every vector lies in its best cell, in a ring by its angle from the centre; near cells
+    of a ring make a block. A vector asks every block that the angles do not exclude, and in it every ring that the
+    angles and the best found so far do not exclude; there is no fixed number of probes. A group of vectors that are
+    all similar to each other is thus compared pairwise. Similarities are exact cosines rounded to 6 decimals.
     """
     spark = directions.sparkSession
     path = scratch(spark, "directions")
@@ -157,30 +250,44 @@ def similar_directions(directions: DataFrame, dim: int, wanted: float) -> DataFr
         sample = kept.limit(SAMPLE).select("vec").toArrow()
     x = _matrix(sample.column(0).combine_chunks(), dim)
     x = x[np.lexsort(x.T[:3])]  # the same order in every run
-    cells = anisotropic.coarse_cells(n)
-    model = anisotropic.train(x, cells)
+    model = anisotropic.train(x, anisotropic.coarse_cells(n))
     sent = spark.sparkContext.broadcast(model)
-    probes = min(cells, PROBES)
 
     def index(batches):
-        return _index(sent.value, probes)(batches)
+        return _index(sent.value)(batches)
 
     def search(batches):
-        return _search(sent.value, wanted)(batches)
+        return _search(sent.value, wanted, keep)(batches)
 
     placed = scratch(spark, "cells")
-    kept.mapInArrow(index, "rep string, vec array<double>, cells array<int>, code binary, error double").write.parquet(placed)
+    kept.mapInArrow(index, "rep string, vec array<double>, unit int, angle double, code binary, error double").write.parquet(placed)
     rows = spark.read.parquet(placed)
-    home = F.col("cells")[0]
-    counts = rows.groupBy(home.alias("_c")).agg(F.count(F.lit(1)).alias("_n"))  # at most 4096 rows
-    blocks, _ = bounded(counts.select("_c", F.ceil(F.col("_n") / CELL_BLOCK).cast("int").alias("_b")), 4096)
-    block = F.pmod(F.xxhash64("rep"), F.col("_b")).cast("int")
-    base = rows.join(blocks, home == F.col("_c")).select(home.alias("cell"), block.alias("block"), F.lit(0).alias("kind"), "rep", "vec", "code", "error")
-    asked = rows.select(F.explode("cells").alias("cell"), "rep", "vec").join(blocks, F.col("cell") == F.col("_c"))
-    queries = asked.select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("block"), F.lit(1).alias("kind"), "rep", "vec", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("error")
+    found = rows.groupBy("unit").agg(F.count(F.lit(1)), F.min("angle"), F.max("angle")).orderBy("unit").collect()  # at most 4096 * RINGS rows
+    unit, count, low, high = (np.array(c) for c in zip(*found, strict=True))
+    first, pieces = _blocks(model.centres, unit, count, int(np.clip(n // 16, 512, BLOCK)))
+
+    def ask(batches):
+        return _ask(sent.value, unit, low, high, first, pieces, wanted)(batches)
+
+    asked_at = scratch(spark, "asks")
+    rows.select("rep", "vec").mapInArrow(ask, "rep string, vec array<double>, asks array<int>").write.parquet(asked_at)
+    asked = spark.read.parquet(asked_at).select("rep", "vec", F.explode("asks").alias("block"))
+    per_block = asked.groupBy("block").count().orderBy("block").collect()  # one row a block
+    tasks, parts = [], 0
+    for r in per_block:
+        cut = -(-r["count"] // QUERIES)
+        tasks.append((r["block"], parts, cut))
+        parts += cut
+    plan = F.broadcast(spark.createDataFrame(tasks, "block int, _t int, _n int"))
+    homes = F.broadcast(spark.createDataFrame([tuple(map(int, r)) for r in zip(unit, first, pieces, strict=True)], "unit int, _f int, _p int"))
+    block = (F.col("_f") + F.pmod(F.xxhash64("rep", F.lit(7)), F.col("_p"))).cast("int")
+    base = rows.join(homes, "unit").withColumn("block", block).join(plan, "block").select(
+        F.explode(F.sequence(F.col("_t"), F.col("_t") + F.col("_n") - 1)).alias("task"), F.lit(0).alias("kind"), "rep", "vec", "unit", "angle", "code", "error"
     )
-    laid = base.unionByName(queries).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
+    task = (F.col("_t") + F.pmod(F.xxhash64("rep"), F.col("_n"))).cast("int")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("unit", "int"), ("angle", "double"), ("code", "binary"), ("error", "double"))]
+    queries = asked.join(plan, "block").select(task.alias("task"), F.lit(1).alias("kind"), "rep", "vec", *none)
+    laid = base.unionByName(queries).repartitionById(parts, F.col("task")).sortWithinPartitions("task", "kind")
     return laid.mapInArrow(search, "a string, b string, sim double")
 
 
@@ -202,10 +309,9 @@ def nearest_pairs(docs: DataFrame, *, k: int = 3, wanted: float = 0.8, dim: int
     ranked.groupBy("cls").agg(firsts.alias("firsts"), F.min_by("vec", "id").alias("vec")).withColumn("rep", F.col("firsts")[0]).write.parquet(where)
     classes = spark.read.parquet(where)
     pairs_at = scratch(spark, "pairs")
-    similar_directions(classes, dim, wanted).write.parquet(pairs_at)
-    one_way = spark.read.schema("a string, b string, sim double").parquet(pairs_at)
-    both = one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    best = both.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.col("sim").desc(), "b"))).where(F.col("_r") <= k + 1)
+    similar_directions(classes, dim, wanted, k + 1).write.parquet(pairs_at)
+    found = spark.read.schema("a string, b string, sim double").parquet(pairs_at)
+    best = found.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.col("sim").desc(), "b"))).where(F.col("_r") <= k + 1)
     names = classes.select("rep", "cls", "firsts")
     theirs = best.join(names.select(F.col("rep").alias("b"), "firsts"), "b").select("a", "sim", F.explode("firsts").alias("id"))
     own = names.select(F.col("rep").alias("a"), F.lit(1.0).alias("sim"), F.explode("firsts").alias("id"))

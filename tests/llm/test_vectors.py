@@ -71,3 +71,14 @@ def test_score_aware_codes_keep_inner_products_better():
     assert np.allclose(scan, q @ m.decode(aware, cell).T, atol=1e-4)
     err = np.linalg.norm(x - m.decode(aware, cell), axis=1)
     assert (np.abs(scan - q @ x.T) <= err + 1e-4).all()
+
+
+def test_every_pair_of_a_dense_third(spark, rows):
+    rng = np.random.default_rng(4)
+    for noise in (0.05, 1e-7):  # cosines of about 0.86; all cosines 1.000000, but no copies
+        x = clustered(6000, seed=6, spread=0.3)
+        middle = rng.normal(size=64)
+        x[::3] = middle / np.linalg.norm(middle) + noise * rng.normal(size=(2000, 64))
+        cur = {f"v{i}": list(map(float, v)) for i, v in enumerate(x)}
+        got = rows(similar.nearest_pairs(spark.createDataFrame([(i, v, 1, 0, 0) for i, v in cur.items()], DOCS)))
+        assert got == brute(cur)

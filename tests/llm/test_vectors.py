@@ -1,6 +1,7 @@
 """Similar vectors (p6): quantiser, recall and exactness against brute force, copies and dirty rows."""
 
 import numpy as np
+import pyarrow as pa
 
 from chronodoc.llm import anisotropic, similar
 
@@ -82,3 +83,20 @@ def test_every_pair_of_a_dense_third(spark, rows):
         cur = {f"v{i}": list(map(float, v)) for i, v in enumerate(x)}
         got = rows(similar.nearest_pairs(spark.createDataFrame([(i, v, 1, 0, 0) for i, v in cur.items()], DOCS)))
         assert got == brute(cur)
+
+
+def test_asks_are_not_bounded_by_a_number():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=64) + 0.4 * rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    m = anisotropic.train(x.astype(np.float32), 400)
+    lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * 64, pa.array(x.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(x))]), lists], names=["rep", "vec"])
+    placed = pa.Table.from_batches(similar._index(m)([batch]))
+    home, angle = placed["unit"].to_numpy(), placed["angle"].to_numpy()
+    unit, at = np.unique(home, return_inverse=True)
+    low, high = (np.array([f(angle[at == i]) for i in range(len(unit))]) for f in (np.min, np.max))
+    asks = pa.Table.from_batches(similar._ask(m, unit, low, high, np.arange(len(unit)), np.ones(len(unit), int), 0.8)([batch]))["asks"].to_pylist()
+    s = x @ x.T
+    assert all(set(at[s[i] >= 0.8]) <= set(asks[i]) for i in range(len(x)))
+    assert max(len(set(at[s[i] >= 0.8])) for i in range(len(x))) > 24

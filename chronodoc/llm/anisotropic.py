@@ -23,7 +23,7 @@ def eta(dim: int, at: float = TUNED_AT) -> float:
 
 
 def coarse_cells(n: int) -> int:
-    return max(1, min(4096, int(2 * np.sqrt(n)))) if n > 2000 else 1
+    return max(1, min(4096, n, int(2 * np.sqrt(n))))
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:

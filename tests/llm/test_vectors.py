@@ -100,3 +100,14 @@ def test_asks_are_not_bounded_by_a_number():
     s = x @ x.T
     assert all(set(at[s[i] >= 0.8]) <= set(asks[i]) for i in range(len(x)))
     assert max(len(set(at[s[i] >= 0.8])) for i in range(len(x))) > 24
+
+
+def test_small_inputs_have_cells_too(spark, rows):
+    assert [anisotropic.coarse_cells(n) for n in (0, 1, 2, 90, 450, 2000)] == [1, 1, 2, 18, 42, 89]
+    rng = np.random.default_rng(2)
+    x = clustered(450, seed=2, spread=0.3)
+    x[::3] = rng.normal(size=64) + 0.4 * rng.normal(size=(150, 64))
+    cur = {f"v{i}": list(map(float, v)) for i, v in enumerate(x)}
+    for part in (cur, dict(list(cur.items())[:2]), dict(list(cur.items())[:7])):
+        got = rows(similar.nearest_pairs(spark.createDataFrame([(i, v, 1, 0, 0) for i, v in part.items()], DOCS)))
+        assert got == brute(part)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronodoc.operators.changes import committed_changes, spelled
-from chronodoc.session import bounded, hadoop
-from chronodoc.sources.commitlog import CommitConflict, CommitLog
+from chronodoc.session import bounded, checkpointed, hadoop
+from chronodoc.sources.commitlog import Base, CommitLog
 
 LOW = 0xFFFFFFFF
 
@@ -53,63 +55,96 @@ class RunReport:
 class IncrementalTable:
     """A derived table kept up to date partition by partition under ``path``.
 
-    Layout: ``data/pkey=.../*.parquet`` (results), ``prints/v=N`` (input fingerprints as of version N) and
-    ``commits/`` (the commit log). A run
-      1. fingerprints every input partition (one scan, one map-side combined aggregation),
-      2. compares with the fingerprints of the last committed version,
-      3. computes the results of changed, new and vanished partitions only,
-      4. replaces exactly those partitions by dynamic partition overwrite,
-      5. writes the new fingerprints and commits the version.
-    A crash before 5 leaves the old fingerprints in force, so the next run recomputes the same partitions and
-    overwrites whatever half-finished state they are in: nothing is skipped, nothing is repeated. A
-    partition without results still gets one marker row, so that an overwrite also empties it.
+    Layout: ``data/run=<id>/pkey=.../*.parquet`` (results, written once and never changed), ``prints/<id>`` (per partition:
+    input fingerprint and the run that wrote its results) and ``commits/`` (the commit log). A run
+      1. reads the newest commit, whose successor it wants to become,
+      2. fingerprints every input partition (one scan, one map-side combined aggregation) and compares with that commit,
+      3. computes the results of changed and new partitions only,
+      4. writes them by dynamic partition overwrite into a folder of its own and the new map of partitions beside it,
+      5. commits the map under the number after the one it read.
+    Step 5 replaces all changed partitions at once for every reader, as ``read`` follows the map of one commit only. A
+    run that crashes before it, or loses against another writer (``CommitConflict``), has changed nothing that anyone
+    reads: the next run recomputes the same partitions, so nothing is skipped and nothing repeated. Vanished
+    partitions and partitions without results have no files. Partitions still held by the oldest of more than
+    ``MAX_RUNS`` folders are computed anew, which bounds the number of folders a reader opens.
     """
 
+    MAX_RUNS = 200
+    PRINTS = "pkey string, n_rows long, low long, high long, run string"
+
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         self.spark, self.path, self.schema = spark, path, schema
         self.log = CommitLog(spark, f"{path}/commits")
 
-    PRINTS = "pkey string, n_rows long, low long, high long"
-
-    def committed_prints(self) -> tuple[int, DataFrame]:
-        version, content = self.log.latest()
-        if not version:
-            return 0, self.spark.createDataFrame([], self.PRINTS)
-        return version, self.spark.read.schema(self.PRINTS).parquet(content["prints"])
-
-    def read(self) -> DataFrame:
-        """The committed results, markers left out."""
-        stored = T.StructType([*self.schema.fields, T.StructField("_row", T.BooleanType()), T.StructField("pkey", T.StringType())])
-        fs, p = hadoop(self.spark, f"{self.path}/data")
-        if not fs.exists(p):
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(stored).parquet(f"{self.path}/data").where("_row").select(*self.schema.fieldNames())
-
-    def run(self, prints: DataFrame, compute: Callable[[DataFrame, bool], DataFrame]) -> RunReport:
+    def prints(self, content: dict) -> DataFrame:
+        """(pkey, n_rows, low, high, run) of a commit: fingerprints of the input it was made from."""
+        if not content:
+            return self.spark.createDataFrame([], self.PRINTS)
+        return self.spark.read.schema(self.PRINTS).parquet(f"{self.path}/prints/{content['run']}")
+
+    def read(self, only: DataFrame | None = None, content: dict | None = None) -> DataFrame:
+        """The results as of a commit (default: the newest) with ``pkey``; ``only`` (pkey) leaves all other partitions out."""
+        content = self.log.latest()[1] if content is None else content
+        stored = T.StructType([*self.schema.fields, T.StructField("run", T.StringType()), T.StructField("pkey", T.StringType())])
+        paths = []
+        for run in content.get("runs", {}):
+            fs, p = hadoop(self.spark, f"{self.path}/data/run={run}")
+            if fs.exists(p):
+                paths.append(p.toString())
+        if not paths:
+            return self.spark.createDataFrame([], stored).drop("run")
+        rows = self.spark.read.schema(stored).option("basePath", f"{self.path}/data").parquet(*paths)
+        whole = len(content["runs"]) == 1 and content["written"] == content["partitions"]
+        if only is not None or not whole:
+            want = self.prints(content).select("pkey", "run")
+            if only is not None:
+                want = want.join(only.select("pkey"), "pkey", "left_semi")
+            rows = rows.join(bounded(want)[0], ["pkey", "run"], "left_semi")
+        return rows.select(*self.schema.fieldNames(), "pkey")
+
+    def run(self, prints: DataFrame, compute: Callable[[DataFrame, bool], DataFrame], *, base: Base | None = None, rebalance: bool = True) -> RunReport:
         """One run. ``prints`` are the input's fingerprints (one row per pkey); ``compute(changed, small)`` gets
-        the changed pkeys (broadcast-hinted if few) and returns rows with the schema's columns and ``pkey``."""
-        before, old = self.committed_prints()
-        version = self.log.next_version()
-        target = f"{self.path}/prints/v={version}"
-        prints.select("pkey", "n_rows", "low", "high").write.mode("overwrite").parquet(target)
-        new = self.spark.read.schema(self.PRINTS).parquet(target)
-        o = old.select("pkey", *[F.col(c).alias(f"o_{c}") for c in ("n_rows", "low", "high")])
+        the changed pkeys (broadcast-hinted if few) and returns rows with the schema's columns and ``pkey``. Its layout
+        is kept where ``rebalance`` is off. ``base``: what the caller has read of this table before (``log.begin()``)."""
+        base = base or self.log.begin()
+        run = f"r{base.number:012d}-{uuid.uuid4().hex[:8]}"
+        old = self.prints(base.content).select("pkey", *[F.col(c).alias(f"o_{c}") for c in ("n_rows", "low", "high", "run")])
         same = F.lit(True)
         for c in ("n_rows", "low", "high"):
             same = same & F.col(c).eqNullSafe(F.col(f"o_{c}"))
-        changed, small = bounded(new.join(o, "pkey", "full_outer").where(~same).select("pkey"))
+        aged = sorted(base.content.get("runs", {}))[: -self.MAX_RUNS]
+        if aged:
+            same = same & ~F.col("o_run").isin(aged)
+        both = checkpointed(prints.select("pkey", "n_rows", "low", "high").join(old, "pkey", "full_outer").withColumn("_same", same))
+        changed, small = bounded(both.where("not _same").select("pkey"))
         n_changed = changed.count()
         if n_changed:
-            rows = compute(changed, small).select(*self.schema.fieldNames(), F.lit(True).alias("_row"), "pkey")
-            blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
-            marks = changed.select(*blank, F.lit(False).alias("_row"), "pkey")
-            # rebalance: few files per partition, hot partitions split by size at run time
-            out = rows.unionByName(marks).hint("rebalance", "pkey")
-            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pkey").parquet(f"{self.path}/data")
-        if self.log.latest()[0] != before:
-            raise CommitConflict(f"another run of {self.path} committed in the meantime")
-        self.log.commit(version, {"prints": target, "changed": n_changed})
-        return RunReport(version, new.count(), n_changed)
+            rows = compute(changed, small).select(*self.schema.fieldNames(), "pkey")
+            if rebalance:  # few files per partition, hot partitions split by size at run time
+                rows = rows.hint("rebalance", "pkey")
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pkey").parquet(f"{self.path}/data/run={run}")
+        owner = F.when(F.col("_same"), F.col("o_run")).otherwise(F.lit(run))
+        now = both.where("n_rows is not null").select("pkey", "n_rows", "low", "high", owner.alias("run"))
+        now.write.parquet(f"{self.path}/prints/{run}")
+        held = {r["run"]: r["n"] for r in now.groupBy("run").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per folder
+        written = {**base.content.get("wrote", {}), run: held.get(run, 0)}
+        content = {"run": run, "runs": held, "wrote": {r: written[r] for r in held}, "partitions": sum(held.values()), "changed": n_changed}
+        content["written"] = sum(content["wrote"].values())
+        self.log.commit(base.number, content)
+        return RunReport(base.number, content["partitions"], n_changed)
+
+    def vacuum(self, older_than_hours: float = 24.0) -> int:
+        """Delete folders that the newest commit does not name and that are older than any running writer can be;
+        returns how many went."""
+        content, gone = self.log.latest()[1], 0
+        keep = {f"run={r}" for r in content.get("runs", {})} | {content.get("run")}
+        limit = (time.time() - older_than_hours * 3600) * 1000
+        for part in ("data", "prints"):
+            fs, p = hadoop(self.spark, f"{self.path}/{part}")
+            for s in fs.listStatus(p) if fs.exists(p) else []:
+                if s.getPath().getName() not in keep and s.getModificationTime() < limit:
+                    gone += bool(fs.delete(s.getPath(), True))
+        return gone
 
 
 def successful_saves(saves: DataFrame) -> DataFrame:

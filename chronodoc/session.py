@@ -12,8 +12,10 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast; the rows are counted before the hint is given.
+#: Rows up to which a side may be broadcast; rows and bytes are measured before the hint is given.
 BROADCAST_ROWS = 200_000
+#: Bytes of their JSON text up to which it may be.
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -98,8 +100,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` checkpointed and counted; with a broadcast hint only if it has at most ``max_rows`` rows."""
+def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """``df`` checkpointed and measured; with a broadcast hint only if it has at most ``max_rows`` rows and its rows,
+    written as text, at most ``max_bytes``. Beyond either bound there is no hint."""
     kept = checkpointed(df)
-    small = kept.limit(max_rows + 1).count() <= max_rows
+    width = F.octet_length(F.to_json(F.struct("*"))).cast("long")
+    n, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    small = n <= max_rows and size <= max_bytes
     return (F.broadcast(kept) if small else kept), small

@@ -7,11 +7,13 @@ import random
 import pytest
 
 from chronodoc.operators.changes import committed_changes, current_documents, fold_changes, live
-from chronodoc.operators.compaction import CompactedTables, live_entries, live_tables
-from chronodoc.operators.incremental import fingerprints, partition_key, refresh_pending
+from chronodoc.operators import incremental
+from chronodoc.operators.compaction import CompactedTables, level_drift, live_tables
+from chronodoc.operators.incremental import PENDING, IncrementalTable, fingerprints, partition_key, refresh_pending
 from chronodoc.sources.commitlog import CommitConflict, CommitLog
 
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 FRAME = "record_no long, store string, segment string, sequence long, frame_type string, txid string, collection string, doc_key string, value string, written_at timestamp_ntz, arrived_at timestamp_ntz"
 SAVE = "store string, save_no int, sequence long, started_at timestamp_ntz, saved_at timestamp_ntz, outcome string, tables array<string>"
@@ -109,7 +111,7 @@ def random_feed(seed, n=150):
 def test_pending_against_brute_force(spark, rows, tmp_path, seed):
     fs, ss = random_feed(seed)
     table, report = refresh_pending(spark, spark.createDataFrame(fs, FRAME), spark.createDataFrame(ss, SAVE), f"file://{tmp_path}/p")
-    assert rows(table.read()) == brute_pending(fs, ss)
+    assert rows(table.read(), "store", "sequence") == brute_pending(fs, ss)
     assert report.changed == report.partitions == 3
 
 
@@ -120,27 +122,78 @@ def test_only_changed_partitions_are_recomputed(spark, rows, tmp_path):
     assert refresh_pending(spark, f, s, path)[1].changed == 0
     more = [*fs, frame(999, 77, store="u")]
     table, report = refresh_pending(spark, spark.createDataFrame(more, FRAME), s, path)
-    assert report.changed == 1 and rows(table.read()) == brute_pending(more, ss)
+    assert report.changed == 1 and rows(table.read(), "store", "sequence") == brute_pending(more, ss)
     done = [*ss, save(99, 10**6, 10**4, store="u")]  # a save that handles all: the partition must become empty
     table, report = refresh_pending(spark, spark.createDataFrame(more, FRAME), spark.createDataFrame(done, SAVE), path)
-    assert report.changed == 1 and rows(table.read()) == brute_pending(more, done)
+    assert report.changed == 1 and rows(table.read(), "store", "sequence") == brute_pending(more, done)
     gone = [x for x in more if x[1] != "v"]
     left = [x for x in done if x[0] != "v"]
     table, report = refresh_pending(spark, spark.createDataFrame(gone, FRAME), spark.createDataFrame(left, SAVE), path)
-    assert report.changed == 1 and rows(table.read()) == brute_pending(gone, left)
+    assert report.changed == 1 and rows(table.read(), "store", "sequence") == brute_pending(gone, left)
     table, _ = refresh_pending(spark, f.limit(0), s.limit(0), path)
     assert table.read().count() == 0
 
 
-def test_a_crash_before_commit_repeats_nothing(spark, rows, tmp_path, monkeypatch):
+@pytest.mark.parametrize("step", ["prints", "data", "commit"])
+def test_a_crash_at_any_step_repeats_nothing(spark, rows, tmp_path, monkeypatch, step):
     fs, ss = random_feed(4)
     path, f, s = f"file://{tmp_path}/p", spark.createDataFrame(fs, FRAME), spark.createDataFrame(ss, SAVE)
+    first = [x for x in fs if x[0] < 70]
+    refresh_pending(spark, spark.createDataFrame(first, FRAME), s, path)
+    real = DataFrameWriter.parquet
+
+    def crash(self, at, *args, **kw):
+        if f"{path}/{step}" in at:
+            if step == "data":  # torn: some files are there
+                real(self, at, *args, **kw)
+            raise OSError("crash")
+        return real(self, at, *args, **kw)
+
     with monkeypatch.context() as m:
-        m.setattr(CommitLog, "commit", lambda *a: (_ for _ in ()).throw(OSError("crash")))
+        m.setattr(DataFrameWriter, "parquet", crash)
+        if step == "commit":
+            m.setattr(CommitLog, "commit", lambda *a: (_ for _ in ()).throw(OSError("crash")))
         with pytest.raises(OSError):
             refresh_pending(spark, f, s, path)
+    left = IncrementalTable(spark, path, PENDING)
+    assert rows(left.read(), "store", "sequence") == brute_pending(first, ss)  # nothing unfinished is seen
     table, report = refresh_pending(spark, f, s, path)
-    assert report.changed == 3 and rows(table.read()) == brute_pending(fs, ss)
+    assert report.changed == 3 and rows(table.read(), "store", "sequence") == brute_pending(fs, ss)
+    assert table.vacuum(0) > 0 and rows(table.read(), "store", "sequence") == brute_pending(fs, ss)
+
+
+def test_two_writers_lose_nothing(spark, rows, tmp_path, monkeypatch):
+    """B starts on older input, A commits newer input while B computes, B comes to publish."""
+    fs, ss = random_feed(5)
+    path, s = f"file://{tmp_path}/p", spark.createDataFrame(ss, SAVE)
+    older = [x for x in fs if x[0] < 60]
+    refresh_pending(spark, spark.createDataFrame(older[:20], FRAME), s, path)
+    real, seen = incremental.pending_changes, []
+
+    def slow(changes, frontier):
+        if not seen:
+            seen.append(1)
+            refresh_pending(spark, spark.createDataFrame(fs, FRAME), s, path)  # A, from start to end
+            assert rows(IncrementalTable(spark, path, PENDING).read(), "store", "sequence") == brute_pending(fs, ss)
+        return real(changes, frontier)
+
+    with monkeypatch.context() as m:
+        m.setattr(incremental, "pending_changes", slow)
+        with pytest.raises(CommitConflict):
+            refresh_pending(spark, spark.createDataFrame(older, FRAME), s, path)
+    assert rows(IncrementalTable(spark, path, PENDING).read(), "store", "sequence") == brute_pending(fs, ss)
+    table, report = refresh_pending(spark, spark.createDataFrame(fs, FRAME), s, path)
+    assert report.changed == 0 and rows(table.read(), "store", "sequence") == brute_pending(fs, ss)
+
+
+def test_old_run_folders_are_taken_over(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(IncrementalTable, "MAX_RUNS", 2)
+    path, fs = f"file://{tmp_path}/p", []
+    none = spark.createDataFrame([], SAVE)
+    for i, store in enumerate("abcd"):
+        fs.append(frame(i, i + 1, store=store))
+        table, _ = refresh_pending(spark, spark.createDataFrame(fs, FRAME), none, path)
+        assert rows(table.read(), "store", "sequence") == brute_pending(fs, []) and len(table.log.latest()[1]["runs"]) <= 3
 
 
 def test_commit_log(spark, tmp_path):
@@ -149,8 +202,12 @@ def test_commit_log(spark, tmp_path):
     log.commit(1, {"a": 1})
     with pytest.raises(CommitConflict):
         log.commit(1, {"a": 2})
+    base = log.begin()
     (tmp_path / "log" / "000000000002.json").write_text('{"torn')
-    assert log.latest() == (1, {"a": 1}) and log.next_version() == 3
+    assert log.latest() == (1, {"a": 1}) and log.begin().number == 3
+    with pytest.raises(CommitConflict):
+        log.commit(base.number, {"a": 3})
+    assert not [p for p in (tmp_path / "log").iterdir() if "tmp" in p.name]
 
 
 ENTRY = "store string, table_id string, collection string, doc_key string, sequence long, value string"
@@ -162,23 +219,56 @@ def test_compaction(spark, rows, tmp_path):
          save(1, 1, 0, store="few", tables=["t1"]), save(5, 1, 0, store="null", tables=None), save(4, 1, 0, store="null", tables=["t1"])], SAVE)
     entries = spark.createDataFrame(
         [("s", f"t{1 + i % 3}", "c", str(i % 10), i % 4, None if i % 4 == 0 else "v") for i in range(200)] + [("s", "old", "c", "gone", 1, "v"), ("few", "t1", "c", "k", 1, ""), ("few", "t1", "c", "k", 1, ""), ("null", "t1", "c", "k", 1, "v"), ("x", "t1", "c", "k", 1, "v")], ENTRY)
-    assert len(rows(live_tables(saves))) == 4
-    records = live_entries(entries, live_tables(saves))
+    live = live_tables(saves)
+    assert len(rows(live)) == 4
+    assert rows(level_drift(saves.withColumn("levels", F.expr("array(named_struct('level', 0, 'tables', 3, 'size_bytes', 1L), null)")), entries).na.fill("-")) == [
+        ("few", 3, 1, 1), ("null", 3, 0, 0), ("s", 3, 3, 3)]
     tables = CompactedTables(spark, f"file://{tmp_path}/c", max_small=2, target_bytes=1500)
-    report = tables.compact(records)
+    report = tables.compact(entries, live)
     want = sorted({("s", "c", str(i % 10), i % 4) for i in range(200)} | {("few", "c", "k", 1)})
-    assert (report.rewritten, report.kept) == (1, 1) and rows(tables.records(records)) == want
-    assert {r["table_no"] for r in tables.read().collect()} <= set(range(8)) and tables.read().select("table_no").distinct().count() > 1
-    tables.compact(records)  # again: replaced, not repeated
-    assert rows(tables.records(records)) == want
-    assert CompactedTables(spark, f"file://{tmp_path}/e").compact(records.limit(0)).rewritten == 0
-
-
-def test_compaction_conflict(spark, tmp_path, monkeypatch):
-    entries = spark.createDataFrame([("s", f"t{i}", "c", str(i), 1, "v") for i in range(9)], ENTRY)
-    tables = CompactedTables(spark, f"file://{tmp_path}/c", max_small=1)
-    seen = iter([(0, {}), (4, {})])
-    monkeypatch.setattr(tables.log, "latest", lambda: next(seen))
+    assert (report.rewritten, report.kept) == (1, 1) and rows(tables.records(entries, live)) == want
+    assert 1 < len(tables.table.read().inputFiles()) <= 8
+    assert tables.compact(entries, live).rewritten == 0  # again: nothing to do
+    assert rows(tables.records(entries, live)) == want
+    assert CompactedTables(spark, f"file://{tmp_path}/e").compact(entries.limit(0), live.limit(0)).rewritten == 0
+    assert CompactedTables(spark, f"file://{tmp_path}/e").records(entries, live).count() == len(want)  # nothing compacted yet
+
+
+def test_hot_document_spreads_over_tables(spark, rows, tmp_path):
+    entries = spark.createDataFrame([("s", f"t{i % 9}", "c", "hot", i, "v" * 50) for i in range(400)] * 2 + [("s", "t0", "c", "cold", 1, "v")], ENTRY)
+    live = entries.select("store", "table_id").distinct()
+    tables = CompactedTables(spark, f"file://{tmp_path}/c", target_bytes=10_000)
+    tables.compact(entries, live)
+    sizes = [r["count"] for r in tables.table.read().groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 150 and tables.records(entries, live).count() == 401
+
+
+def test_compaction_after_the_source_merged(spark, rows, tmp_path):
+    first = spark.createDataFrame([("s", f"t{i}", "c", str(i), 1, None if i == 4 else "v") for i in range(9)], ENTRY)
+    merged = spark.createDataFrame([("s", "m", "c", str(i), 1, "v") for i in (5, 6, 7, 8, 100)], ENTRY)
+    both, tables = first.unionByName(merged), CompactedTables(spark, f"file://{tmp_path}/c")
+    before, after = first.select("store", "table_id"), merged.select("store", "table_id").distinct()
+    assert tables.compact(both, before).rewritten == 1
+    assert rows(tables.records(both, after), "doc_key") == [("100",), ("5",), ("6",), ("7",), ("8",)]  # not compacted yet
+    assert tables.compact(both, after).kept == 1  # one table: left alone
+    assert rows(tables.records(both, after), "doc_key") == [("100",), ("5",), ("6",), ("7",), ("8",)]
+    assert tables.records(both, before).count() == 9
+
+
+def test_two_compactions_at_once(spark, rows, tmp_path, monkeypatch):
+    entries = spark.createDataFrame([("s", f"t{i}", "c", str(i), 1, "v") for i in range(20)], ENTRY)
+    small, large = entries.where("doc_key < '5'").select("store", "table_id"), entries.select("store", "table_id")
+    path = f"file://{tmp_path}/c"
+    mine, other = CompactedTables(spark, path), CompactedTables(spark, path)
+    real, seen = mine.table.run, []
+
+    def slow(*args, **kw):
+        other.compact(entries, large)  # from start to end, after mine has read its base
+        seen.append(1)
+        return real(*args, **kw)
+
+    monkeypatch.setattr(mine.table, "run", slow)
     with pytest.raises(CommitConflict):
-        tables.compact(entries)
-    assert not (tmp_path / "c" / "data").exists()
+        mine.compact(entries, small)
+    assert seen and other.records(entries, large).count() == 20 and other.table.read().count() == 20
+    assert other.compact(entries, large).rewritten == 0

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronodoc.session import checkpointed
+from chronodoc.operators.compaction import live_entries
+from chronodoc.session import bounded, checkpointed, scratch
+from chronodoc.sources.commitlog import CommitLog
 
 SLOTS = 4
+#: Bits of a fingerprint.
+BITS = 16
 FULL = 0.9
 KICKS = 64
 #: Keys one table partition is planned for.
@@ -19,22 +25,22 @@ KEYS_PER_PART = 1 << 19
 
 
 class CuckooTable:
-    """Cuckoo filter over 64-bit key hashes: 16-bit fingerprints, two candidate buckets of four slots.
+    """Cuckoo filter over 64-bit key hashes: fingerprints of up to 16 bits, two candidate buckets of four slots.
 
     All operations take arrays of hashes and work on whole arrays. When a table is 90 % full or an insertion
     finds no place, a table of twice the size is added to the chain; lookups ask every table, so growth never
     loses a key. ``delete_many`` removes one stored copy per given hash (only delete what was inserted).
     """
 
-    def __init__(self, expected: int = 1024):
+    def __init__(self, expected: int = 1024, bits: int = BITS):
+        self.bits = bits
         need = max(4, int(expected / FULL / SLOTS) + 1)
         self.tables = [np.zeros((1 << (need - 1).bit_length(), SLOTS), np.uint16)]
         self.used = [0]
         self.rng = np.random.default_rng(7)
 
-    @staticmethod
-    def _fingerprint(h: np.ndarray) -> np.ndarray:
-        fp = (h & np.uint64(0xFFFF)).astype(np.uint16)
+    def _fingerprint(self, h: np.ndarray) -> np.ndarray:
+        fp = (h & np.uint64((1 << self.bits) - 1)).astype(np.uint16)
         return np.where(fp == 0, np.uint16(1), fp)
 
     @staticmethod
@@ -126,158 +132,248 @@ class CuckooTable:
             self._grow(0)
 
     def delete_many(self, h: np.ndarray) -> np.ndarray:
-        """Remove one stored copy of each hash; True where there was one."""
+        """Remove one stored copy of each hash; True where one was removed. Only delete what was inserted.
+
+        Tables of one size are interchangeable: there two keys of one fingerprint share both buckets or none. A hash
+        with matches in tables of different sizes is left alone (False), as the match in one of them may be
+        another key's only copy; it stays a 'maybe', which the exact check settles, and nothing is ever forgotten.
+        """
+        h = np.asarray(h, np.uint64)
         gone = np.zeros(len(h), bool)
-        for i, x in enumerate(np.asarray(h, np.uint64)):
+        sizes = sorted({len(t) for t in self.tables})
+        holds = np.array([np.logical_or.reduce([self._matches(t, h)[0] >= 0 for t in self.tables if len(t) == n]) for n in sizes])
+        for n, mine in zip(sizes, holds & (holds.sum(0) == 1), strict=True):
+            todo = np.flatnonzero(mine)
             for k, table in enumerate(self.tables):
-                fp, a, b = self._places(np.array([x], np.uint64), table)
-                for bucket in (a[0], b[0]):
-                    hit = np.flatnonzero(table[bucket] == fp[0])
-                    if len(hit) and not gone[i]:
-                        table[bucket, hit[0]] = 0
-                        self.used[k] -= 1
-                        gone[i] = True
+                while len(table) == n and len(todo):
+                    at, _ = self._matches(table, h[todo])
+                    slots, first = np.unique(at, return_index=True)  # of hashes with one slot in view, one takes it
+                    first = first[slots >= 0]
+                    if not len(first):
+                        break
+                    table.reshape(-1)[at[first]] = 0
+                    self.used[k] -= len(first)
+                    gone[todo[first]] = True
+                    todo = np.delete(todo, first)
         return gone
 
+    def _matches(self, table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat slot of a stored fingerprint of each hash, -1 where there is none; and the fingerprints."""
+        fp, a, b = self._places(h, table)
+        both = np.concatenate([table[a], table[b]], 1) == fp[:, None]
+        first = both.argmax(1)
+        slot = np.where(first < SLOTS, a * SLOTS + first, b * SLOTS + first - SLOTS)
+        return np.where(both.any(1), slot, -1), fp
+
+    def dump(self) -> list[bytes]:
+        """The tables as bytes, oldest first."""
+        return [t.tobytes() for t in self.tables]
+
+    @classmethod
+    def load(cls, parts: list[bytes], bits: int = BITS) -> CuckooTable:
+        t = cls(1, bits)
+        t.tables = [np.frombuffer(p, np.uint16).reshape(-1, SLOTS).copy() for p in parts]
+        t.used = [int(np.count_nonzero(x)) for x in t.tables]
+        return t
+
     def __len__(self) -> int:
         return sum(self.used)
 
 
-VERDICT = "arrival_no long, maybe boolean, part int, tables int, stored long"
+#: What a run writes: verdicts (kind 'v') in order of arrival, and the tables after it (kind 't', arrival_no is the place in the chain).
+RUN = "kind string, part int, arrival_no long, maybe boolean, slots binary"
+#: Rows of one table partition in the order in which they are worked off.
+TABLE, OWED, DELETE, INSERT, ARRIVAL = range(5)
+
 
+def _work(expected: int, bits: int):
+    """Rows (part, kind, arrival_no, h, slots), sorted by part, kind and arrival, to rows of ``RUN``."""
 
-def _judge(expected: int):
-    """Rows (part, arrival_no or -1 for an old key, h), sorted by part and arrival, to verdicts in that order."""
+    def flush(part: int, chain: list[bytes], table: CuckooTable | None) -> pa.RecordBatch:
+        dumped = table.dump() if table else chain
+        n = len(dumped)
+        cols = [["t"] * n, np.full(n, part, np.int32), np.arange(n), np.zeros(n, bool), dumped]
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols[:4]), pa.array(dumped, pa.binary())], names=["kind", "part", "arrival_no", "maybe", "slots"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, table = None, None
+        part, chain, table = None, [], None
         for batch in batches:
-            parts = batch.column(0).to_numpy()
-            nos = batch.column(1).to_numpy()
-            hashes = batch.column(2).to_numpy().view(np.uint64)
-            cuts = np.flatnonzero(np.diff(parts)) + 1
-            for p, no, h in zip(np.split(parts, cuts), np.split(nos, cuts), np.split(hashes, cuts), strict=True):
-                if not len(p):
+            key = np.stack([np.asarray(batch.column(i)) for i in range(2)], 1)
+            cuts = [0, *(np.flatnonzero((np.diff(key, axis=0) != 0).any(1)) + 1).tolist(), len(key)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if x == y:
                     continue
-                if table is None or p[0] != part:
-                    part, table = p[0], CuckooTable(expected)
-                old = no < 0
-                table.insert_many(h[old])
-                no, h = no[~old], h[~old]
-                if not len(no):
+                p, kind = key[x].tolist()
+                if p != part:
+                    if part is not None:
+                        yield flush(part, chain, table)
+                    part, chain, table = p, [], None
+                rows = batch.slice(x, y - x)
+                if kind == TABLE:
+                    chain += rows.column(4).to_pylist()
                     continue
-                # all hashes of one part are distinct, so a whole batch can be asked before it is added
-                maybe = table.contains_many(h)
-                table.insert_many(h[~maybe])
-                n = len(no)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(no), pa.array(maybe), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, len(table.tables), np.int32)), pa.array(np.full(n, len(table), np.int64))],
-                    names=["arrival_no", "maybe", "part", "tables", "stored"],
-                )
+                if table is None:
+                    table = CuckooTable.load(chain, bits) if chain else CuckooTable(expected, bits)
+                h = rows.column(3).to_numpy().view(np.uint64)
+                if kind == DELETE:
+                    table.delete_many(h)
+                elif kind in (OWED, INSERT):
+                    table.insert_many(h)
+                else:  # all arriving hashes of one part are distinct, so a whole batch can be asked before it is added
+                    maybe = table.contains_many(h)
+                    table.insert_many(h[~maybe])
+                    n = len(h)
+                    cols = [pa.array(["v"] * n), rows.column(0), rows.column(2), pa.array(maybe), pa.nulls(n, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["kind", "part", "arrival_no", "maybe", "slots"])
+        if part is not None:
+            yield flush(part, chain, table)
 
     return run
 
 
+class KeyTables:
+    """Cuckoo tables of all keys so far, kept under ``path`` between runs: ``runs/<id>`` and a commit log.
+
+    The tables are partitioned by the top bits of the 64-bit key hash; a partition is a chain of byte strings of about
+    2.5 bytes a key. A run loads each partition in one task, works off deletions, insertions and arrivals in this
+    order, and writes verdicts and grown tables as one Parquet folder, which the commit makes current; a failed
+    run leaves the old tables in force. ``expected``: keys the partitions are laid out for when the first run makes them;
+    more make the tables grow. ``bits`` of a fingerprint:
+    fewer give smaller tables and more wrong 'maybe' verdicts.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, expected: int = 1 << 20, *, first_size: int | None = None, bits: int = BITS):
+        self.spark, self.path = spark, path
+        self.log = CommitLog(spark, f"{path}/commits")
+        self.parts = 1 << max(4, (max(1, expected // KEYS_PER_PART) - 1).bit_length())
+        self.bits = bits
+        self.first_size = first_size or max(1024, expected // self.parts)
+
+    def _rows(self, run: str) -> DataFrame:
+        return self.spark.read.schema(RUN).parquet(f"{self.path}/runs/{run}")
+
+    def tables(self) -> DataFrame:
+        """(part, arrival_no, slots) of the newest commit."""
+        content = self.log.latest()[1]
+        return self._rows(content["run"]).where("kind = 't'") if content else self.spark.createDataFrame([], RUN)
+
+    def run(self, *, arrivals: DataFrame | None = None, insert: DataFrame | None = None, delete: DataFrame | None = None) -> DataFrame:
+        """Delete and insert hashes (h), judge arrivals (arrival_no, h) in their order; verdicts: (arrival_no, maybe).
+
+        Each frame's hashes must be distinct. An arrival judged new is inserted, so of keys of one hash the later ones
+        must not be passed: they are 'maybe' by definition.
+        """
+        base = self.log.begin()
+        parts = base.content.get("parts", self.parts)
+        part = F.shiftrightunsigned("h", 64 - (parts - 1).bit_length()).cast("int").alias("part")
+        none = F.lit(None).cast("binary").alias("slots")
+        todo = []
+        if base.content:
+            todo.append(self._rows(base.content["run"]).where("kind = 't'").select("part", F.lit(TABLE).alias("kind"), "arrival_no", F.lit(0).cast("long").alias("h"), "slots"))
+            if base.content.get("owed"):
+                todo.append(self.spark.read.parquet(base.content["owed"]).select(part, F.lit(OWED).alias("kind"), F.lit(0).cast("long").alias("arrival_no"), "h", none))
+        for kind, rows in ((DELETE, delete), (INSERT, insert)):
+            if rows is not None:
+                todo.append(rows.select(part, F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("arrival_no"), "h", none))
+        if arrivals is not None:
+            todo.append(arrivals.select(part, F.lit(ARRIVAL).alias("kind"), "arrival_no", "h", none))
+        laid = reduce(DataFrame.unionByName, todo).repartition("part").sortWithinPartitions("part", "kind", "arrival_no", "h")
+        run = f"r{base.number:012d}-{uuid.uuid4().hex[:8]}"
+        laid.mapInArrow(_work(self.first_size, base.content.get("bits", self.bits)), RUN).write.parquet(f"{self.path}/runs/{run}")
+        self.log.commit(base.number, {"run": run, "parts": parts, "bits": base.content.get("bits", self.bits)})
+        return self._rows(run).where("kind = 'v'").select("arrival_no", "maybe")
+
+    def owe(self, hashes: DataFrame) -> None:
+        """Hashes (h) of keys that were judged 'maybe' but proved new: the next run inserts them, so that each key in the
+        tables has a fingerprint of its own and can be deleted."""
+        base = self.log.begin()
+        path = f"{self.path}/owed/{base.content['run']}-{uuid.uuid4().hex[:8]}"
+        hashes.select("h").distinct().write.parquet(path)
+        self.log.commit(base.number, base.content | {"owed": path})
+
+    def figures(self) -> DataFrame:
+        """One row: partitions, tables in all chains, stored fingerprints."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                n = [int(np.count_nonzero(np.frombuffer(x, np.uint16))) for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["part", "stored"])
+
+        each = self.tables().select("part", "slots").mapInArrow(count, "part int, stored long")
+        return each.agg(F.countDistinct("part").alias("parts"), F.count(F.lit(1)).alias("tables"), F.sum("stored").alias("stored"))
+
+
+def key_hashes(rows: DataFrame) -> DataFrame:
+    """(h): the distinct hashes of non-null raws; a hot raw is combined map-side."""
+    return rows.where(F.col("raw").isNotNull()).select(F.xxhash64("raw").alias("h")).distinct()
+
+
 def first_arrivals(arrivals: DataFrame) -> DataFrame:
     """Per distinct raw its first arrival; a hot raw is combined map-side to one row a task."""
     return arrivals.where(F.col("raw").isNotNull()).groupBy("raw").agg(F.min("arrival_no").alias("arrival_no"))
 
 
-def verdicts(entries: DataFrame, first: DataFrame) -> DataFrame:
-    """The cuckoo tables' verdict on the first arrival of every distinct key hash, in order of arrival.
+def judge(tables: KeyTables, arrivals: DataFrame, stored: DataFrame, insert: DataFrame | None = None) -> DataFrame:
+    """(arrival_no, alarm): the arrivals whose raw has not occurred before, ``alarm`` where the tables had said 'maybe'.
 
-    Only 8-byte hashes are shuffled, spread evenly by their top bits over as many partitions as the number
-    of stored rows asks for; a task holds the fingerprints of one partition (about 2.5 bytes a key), never
-    the keys. Arrivals whose hash equals an earlier one's give no row here (they are 'maybe' by definition).
+    ``arrivals``: unique arrival_no and raw. ``stored`` (raw): every key that was put into the tables before, or is put into
+    them now by ``insert`` (h). The tables judge the first arrival of every distinct hash. They never forget a key, so
+    'new' is final; every other first arrival of a raw is looked up in ``stored``, of which only rows with a
+    suspect's hash are moved as long as those hashes are few enough to be broadcast.
     """
-    n = entries.count()
-    parts = 1 << max(4, (max(1, n // KEYS_PER_PART) - 1).bit_length())
-    old = entries.where(F.col("raw").isNotNull()).select(F.xxhash64("raw").alias("h")).distinct().select(F.lit(-1).cast("long").alias("arrival_no"), "h")
-    new = first.select("arrival_no", F.xxhash64("raw").alias("h")).groupBy("h").agg(F.min("arrival_no").alias("arrival_no"))
-    part = F.shiftrightunsigned("h", 64 - (parts - 1).bit_length()).cast("int")
-    rows = old.unionByName(new).select(part.alias("part"), "arrival_no", "h")
-    laid = rows.repartition("part").sortWithinPartitions("part", "arrival_no", "h")
-    return laid.mapInArrow(_judge(max(1024, n // parts)), VERDICT)
-
-
-def judge_arrivals(entries: DataFrame, arrivals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(seen, audit): arrivals whose raw occurred before, and one row of counts.
+    first = checkpointed(first_arrivals(arrivals).withColumn("h", F.xxhash64("raw")))
+    said = tables.run(arrivals=first.groupBy("h").agg(F.min("arrival_no").alias("arrival_no")), insert=insert)
+    asked = first.join(said, "arrival_no", "left")  # no row: equal hash, so maybe
+    asked = checkpointed(asked.withColumn("maybe", F.coalesce("maybe", F.lit(True))))
+    suspects = asked.where("maybe")
+    hashes, few = bounded(suspects.select("h").distinct())
+    known = stored.where(F.col("raw").isNotNull()).select("raw")
+    if few:
+        known = known.withColumn("h", F.xxhash64("raw")).join(hashes, "h", "left_semi").select("raw")
+    alarms = checkpointed(suspects.join(known.distinct(), "raw", "left_anti").select("arrival_no", "h"))
+    tables.owe(alarms)
+    new = asked.where("not maybe").select("arrival_no", F.lit(False).alias("alarm"))
+    return checkpointed(new.unionByName(alarms.select("arrival_no", F.lit(True).alias("alarm"))))
+
+
+def judge_arrivals(entries: DataFrame, arrivals: DataFrame, *, path: str | None = None, first_size: int | None = None, bits: int = BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(seen, counts, rates): arrivals whose raw occurred before, and one row each of exact and of measured figures.
 
     ``entries`` needs ``raw``; ``arrivals`` needs ``raw`` and a unique ``arrival_no``. Null raws are never judged and
-    never seen; an empty raw is a key like any other; equality is byte for byte. A cuckoo table never forgets
-    a key, so 'new' verdicts are final; every 'maybe' is checked against the stored raws, which makes
-    ``seen`` exact and gives the audited rate of wrong 'maybe' verdicts. Other columns are ignored.
+    never seen; an empty raw is a key like any other; equality is byte for byte. Other columns are ignored.
 
-    Plan: seen = arrivals minus the first arrivals proved new, an anti-join on the unique arrival_no, so a
-    hot key never meets in one task.
+    Two runs over kept tables: the first inserts the keys of ``entries`` and judges the first nine tenths of the arrivals
+    by number; the second loads the tables and judges the rest. ``first_size``: keys a partition is first made for (default:
+    from the number of entries). Plan: seen = arrivals minus the first arrivals proved new, an anti-join on the unique
+    arrival_no, so a hot key never meets in one task.
     """
-    arrivals = arrivals.select("arrival_no", "raw")
-    first = checkpointed(first_arrivals(arrivals))
-    said = checkpointed(verdicts(entries.select("raw"), first))
-    asked = first.join(said.select("arrival_no", "maybe"), "arrival_no", "left")  # no row: equal hash, so maybe
-    suspects = asked.where(F.coalesce("maybe", F.lit(True)))
-    stored = entries.where(F.col("raw").isNotNull()).select("raw").distinct()
-    false_alarms = suspects.join(stored, "raw", "left_anti").select("arrival_no")
-    new = checkpointed(
-        asked.where(~F.col("maybe")).select("arrival_no", F.lit(False).alias("alarm")).unionByName(false_alarms.withColumn("alarm", F.lit(True)))
-    )
+    spark = entries.sparkSession
+    arrivals, stored = arrivals.select("arrival_no", "raw"), entries.select("raw")
+    tables = KeyTables(spark, path or scratch(spark, "keys"), stored.count(), first_size=first_size, bits=bits)
+    cut = arrivals.agg(F.max("arrival_no").alias("m")).first()["m"] or 0
+    early, late = (arrivals.where(x) for x in (F.col("arrival_no") <= cut * 9 // 10, F.col("arrival_no") > cut * 9 // 10))
+    new = judge(tables, early, stored, key_hashes(stored))
+    new = new.unionByName(judge(tables, late, stored.unionByName(early.select("raw"))))
     seen = arrivals.where(F.col("raw").isNotNull()).join(new, "arrival_no", "left_anti").select("arrival_no")
-    counts = arrivals.agg(F.count("raw").alias("judged"), F.count(F.when(F.col("raw").isNull(), 1)).alias("not_judged"))
-    wrong = new.agg(F.count(F.lit(1)).alias("new_keys"), F.count(F.when(F.col("alarm"), 1)).alias("false_maybe"))
-    tables = said.groupBy("part").agg(F.max("tables").alias("tables"), F.max("stored").alias("stored")).agg(
-        F.count(F.lit(1)).alias("parts"), F.sum("tables").cast("long").alias("tables"), F.sum("stored").alias("stored")
-    )
-    audit = counts.crossJoin(wrong).crossJoin(tables)  # three single rows
-    rate = F.when(F.col("new_keys") > 0, F.col("false_maybe") / F.col("new_keys")).otherwise(0.0)
-    return seen, audit.withColumn("wrong_rate", rate)
-
-
-# fixed values of the stored filters' layout: offset, multiplier, bits of a word
-FNV_OFFSET, FNV_PRIME, WORD = 1469598103934665603, 1099511628211, 64
-
-
-def bloom_positions(keys: list[bytes], bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """True where all positions of a key are set in its own filter (rows of ``bits``: list of word arrays)."""
-    out = np.ones(len(keys), bool)
-    size = np.array([len(b) * WORD for b in bits], np.uint64)
-    width = np.array([len(k) for k in keys])
-    padded = np.zeros((len(keys), int(width.max(initial=0))), np.uint64)
-    for i, k in enumerate(keys):
-        padded[i, : len(k)] = np.frombuffer(k, np.uint8)
-    for probe in range(int(hashes.max(initial=0))):
-        h = np.full(len(keys), FNV_OFFSET + probe, np.uint64)
-        for j in range(padded.shape[1]):
-            on = width > j
-            h[on] = (h[on] ^ padded[on, j]) * np.uint64(FNV_PRIME)
-        bit = h % size
-        word = np.array([int(b[int(x) // WORD]) & (2**64 - 1) for b, x in zip(bits, bit, strict=True)], np.uint64)
-        hit = (word >> (bit % np.uint64(WORD))) & np.uint64(1) == 1
-        out &= hit | (probe >= hashes)
-    return out
-
-
-def stored_filter_audit(files: DataFrame, entries: DataFrame) -> DataFrame:
-    """Per table with stored bits: its distinct keys, how many the bits deny (wrong: false negatives), and fill.
-
-    Tables without bits, without words or with hashes below 1 are not usable and give no row; of repeated
-    file rows the newest counts. Keys of tables that have no file row are left out.
+    judged = arrivals.agg(F.count("raw").alias("judged"), F.count(F.when(F.col("raw").isNull(), 1)).alias("not_judged"))
+    counts = judged.crossJoin(new.agg(F.count(F.lit(1)).alias("new_keys")))  # two single rows
+    wrong = new.agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("alarm"), 1)).alias("false_maybe"))
+    rates = wrong.crossJoin(tables.figures())
+    rate = F.when(F.col("_n") > 0, F.col("false_maybe") / F.col("_n")).otherwise(0.0)
+    return seen, counts, rates.select("false_maybe", rate.alias("wrong_rate"), "parts", "tables", "stored")
+
+
+def judge_after_merge(entries: DataFrame, live: DataFrame, arrivals: DataFrame, *, path: str | None = None) -> DataFrame:
+    """(arrival_no) of arrivals whose raw is in a live table or arrived before, from tables that first held all entries.
+
+    ``live``: (store, table_id). Keys that only dead tables hold are deleted from the kept tables, then all arrivals are
+    judged. Nulls as in ``judge_arrivals``.
     """
-    usable = files.where((F.size("bits") > 0) & (F.coalesce("hashes", F.lit(0)) >= 1) & ~F.exists("bits", lambda x: x.isNull()))
-    newest = usable.groupBy("store", "table_id").agg(F.max(F.struct("created_at", "bits", "hashes")).alias("f"))
-    rows = entries.where(F.col("raw").isNotNull()).select("store", "table_id", "raw").distinct()
-    both = rows.join(newest, ["store", "table_id"]).select("store", "table_id", "raw", "f.bits", "f.hashes")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys = b.column(2).to_pylist()
-            bits = [np.asarray(x.values.to_numpy()).view(np.uint64) if x.is_valid else None for x in b.column(3)]
-            ok = bloom_positions(keys, bits, b.column(4).to_numpy())
-            fill = np.array([np.bitwise_count(x).sum() / (len(x) * WORD) for x in bits])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok), pa.array(fill)], names=["store", "table_id", "ok", "fill"])
-
-    asked = both.mapInArrow(ask, "store string, table_id string, ok boolean, fill double")
-    return asked.groupBy("store", "table_id").agg(
-        F.count(F.lit(1)).alias("keys"), F.count(F.when(~F.col("ok"), 1)).alias("denied"), F.round(F.max("fill"), 6).alias("fill")
-    )
+    spark = entries.sparkSession
+    tables = KeyTables(spark, path or scratch(spark, "keys"), entries.count())
+    tables.run(insert=key_hashes(entries))
+    kept = live_entries(entries, live).select("raw")
+    tables.run(delete=key_hashes(entries).join(key_hashes(kept), "h", "left_anti"))
+    arrivals = arrivals.select("arrival_no", "raw")
+    new = judge(tables, arrivals, kept)
+    return arrivals.where(F.col("raw").isNotNull()).join(new, "arrival_no", "left_anti").select("arrival_no")

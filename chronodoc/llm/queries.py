@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronodoc.llm import cuckoo, encoding, enrichment, leakage, quality, similar, termstats
+from chronodoc.operators.compaction import live_tables
 from chronodoc.plans.tables import table
 
 
@@ -13,14 +14,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.judge_arrivals(table(spark, sf_dir, "table_entries"), table(spark, sf_dir, "key_arrivals"))[0]
 
 
-def p1_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: judged arrivals, new keys, wrong 'seen' verdicts of the cuckoo tables and their rate."""
+def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: judged arrivals, arrivals without a key, new keys."""
     return cuckoo.judge_arrivals(table(spark, sf_dir, "table_entries"), table(spark, sf_dir, "key_arrivals"))[1]
 
 
-def p1_stored_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per table with stored bits: keys of its own that the bits deny."""
-    return cuckoo.stored_filter_audit(table(spark, sf_dir, "table_files"), table(spark, sf_dir, "table_entries"))
+def p1_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: wrong 'maybe' verdicts and their rate of tables that were made for 64 keys a partition and grew."""
+    return cuckoo.judge_arrivals(table(spark, sf_dir, "table_entries"), table(spark, sf_dir, "key_arrivals"), first_size=64)[2]
+
+
+def p1_after_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seen arrivals once the keys that only dead tables hold are deleted from the kept tables."""
+    live = live_tables(table(spark, sf_dir, "manifest_saves"))
+    return cuckoo.judge_after_merge(table(spark, sf_dir, "table_entries"), live, table(spark, sf_dir, "key_arrivals"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +106,9 @@ counted AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS words,
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_counts": p1_counts,
     "p1_audit": p1_audit,
-    "p1_stored_filters": p1_stored_filters,
+    "p1_after_merge": p1_after_merge,
     "p4_found": p4_found,
     "p4_terms": p4_terms,
     "p4_index_drift": p4_index_drift,
@@ -118,6 +126,14 @@ ORACLES = {
     "p1_found": """WITH first_of AS (SELECT raw, min(arrival_no) AS a FROM key_arrivals WHERE raw IS NOT NULL GROUP BY raw)
 SELECT k.arrival_no FROM key_arrivals k JOIN first_of f ON k.raw = f.raw
 WHERE k.arrival_no > f.a OR EXISTS (SELECT 1 FROM table_entries e WHERE e.raw = k.raw)""",
+    "p1_counts": """SELECT count(raw) AS judged, count(*) - count(raw) AS not_judged,
+(SELECT count(*) FROM (SELECT DISTINCT raw FROM key_arrivals WHERE raw IS NOT NULL) a WHERE raw NOT IN (SELECT raw FROM table_entries WHERE raw IS NOT NULL)) AS new_keys
+FROM key_arrivals""",
+    "p1_after_merge": """WITH saves AS (SELECT * FROM manifest_saves WHERE lower(trim(outcome)) = 'saved' AND saved_at IS NOT NULL),
+listed AS (SELECT DISTINCT store, unnest(tables) AS table_id FROM saves s WHERE save_no = (SELECT max(save_no) FROM saves t WHERE t.store = s.store)),
+kept AS (SELECT DISTINCT raw FROM table_entries e SEMI JOIN listed l ON e.store = l.store AND e.table_id = l.table_id),
+first_of AS (SELECT raw, min(arrival_no) AS a FROM key_arrivals WHERE raw IS NOT NULL GROUP BY raw)
+SELECT k.arrival_no FROM key_arrivals k JOIN first_of f ON k.raw = f.raw WHERE k.arrival_no > f.a OR EXISTS (SELECT 1 FROM kept WHERE kept.raw = k.raw)""",
     "p4_found": f"WITH {CURRENT} SELECT term, mark FROM ({MARKED}) WHERE mark IS NOT NULL",
     "p4_terms": f"WITH {CURRENT} {MARKED}",
     "p4_index_drift": f"""WITH {CURRENT},

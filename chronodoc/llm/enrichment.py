@@ -11,11 +11,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronodoc.llm.termstats import current_texts, record_terms, term_stats
+from chronodoc.functions.text import default_analyzer as terms
+from chronodoc.llm.termstats import current_texts, term_stats
 from chronodoc.session import bounded, checkpointed
 
 #: A term in more than this share of all (record, term) rows is joined by broadcast; at most 1/share terms are.
 HOT_SHARE = 0.0005
+#: Records a term must have to count as hot at all; below that no task can be held up by it.
+HOT_FLOOR = 1000.0
 
 
 @lru_cache(1)
@@ -74,20 +77,24 @@ def term_enrichment(docs: DataFrame) -> DataFrame:
     probability among the terms of the same record (ties share the larger rank). Records without terms
     give no row; null and empty texts have none.
 
-    Plan: counts need the one shuffle by id; term statistics are joined by a shuffle on term, except for
+    Plan: the texts are read once, and counts need the one shuffle by id; term statistics are joined by a shuffle on term, except for
     the few terms that make up more than ``HOT_SHARE`` of all rows, which are joined by broadcast (there are at
     most 1 / HOT_SHARE of them, whatever the size), so that no task gets a hot term's rows.
     """
-    texts = current_texts(docs)
-    counts = checkpointed(record_terms(texts).withColumn("n", F.sum("f").over(Window.partitionBy("id"))))
-    n_records = texts.agg(F.count(F.lit(1)).alias("n_records"))
+    words = current_texts(docs).select("id", terms(F.col("text")).alias("_w"))
+    # an empty term marks the record, so that records without terms are counted in the same pass
+    rows = words.select("id", F.size("_w").cast("long").alias("n"), F.explode(F.concat("_w", F.array(F.lit("")))).alias("term"))
+    counts = checkpointed(rows.groupBy("id", "n", "term").agg(F.count(F.lit(1)).alias("f")))
+    n_records = counts.where("term = ''").agg(F.count(F.lit(1)).alias("n_records"))
+    counts = counts.where("term <> ''")
     stats = checkpointed(term_stats(counts).select("term", F.col("occurrences").alias("k"), F.col("records").alias("d")))
     whole = stats.agg(F.sum("k").alias("t"), F.sum("d").alias("_rows")).crossJoin(n_records)
     whole = checkpointed(whole)  # one row
-    hot, _ = bounded(stats.crossJoin(F.broadcast(whole.select("_rows"))).where(F.col("d") > F.greatest(F.lit(1000.0), F.col("_rows") * HOT_SHARE)).drop("_rows"))
+    often = F.greatest(F.lit(HOT_FLOOR), F.col("_rows") * HOT_SHARE)
+    hot, _ = bounded(stats.crossJoin(F.broadcast(whole.select("_rows"))).where(F.col("d") > often).drop("_rows"))
     cold = stats.join(hot.select("term"), "term", "left_anti")
-    rows = counts.join(hot, "term").unionByName(counts.join(hot.select("term"), "term", "left_anti").join(cold, "term"))
-    rows = rows.crossJoin(F.broadcast(whole.drop("_rows"))).select("id", "term", "f", "n", "k", "d", "t", "n_records")
+    joined = counts.join(hot, "term").unionByName(counts.join(hot.select("term"), "term", "left_anti").join(cold, "term"))
+    rows = joined.crossJoin(F.broadcast(whole.drop("_rows"))).select("id", "term", "f", "n", "k", "d", "t", "n_records")
     scored = rows.mapInPandas(_score, ROWS)
     mine = Window.partitionBy("id")
     by_rank = mine.orderBy(F.col("surprise").desc())

@@ -51,8 +51,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every score at 3 decimals: sums of log-gammas of numbers in the millions differ from the eighth decimal on."""
     rows = enrichment.term_enrichment(table(spark, sf_dir, "text_docs"))
-    return rows.select("id", "term", "f", "n", "k", "d", F.round("surprise", 6).alias("surprise"), F.round("score", 6).alias("score"))
+    return rows.select("id", "term", "f", "n", "k", "d", F.round("surprise", 3).alias("surprise"), F.round("score", 3).alias("score"))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +155,21 @@ SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM firsts WHERE r
     "p7_found": f"""WITH {CURRENT},
 weighed AS (SELECT id, c.term, round(f * ln(n_docs / records), 6) AS w FROM counts c JOIN stats s ON c.term = s.term, size WHERE records >= 2)
 SELECT id, term FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, term) AS r FROM weighed) WHERE r = 1""",
+    "p7_scores": f"""WITH {CURRENT},
+sized AS (SELECT id, CAST(sum(f) AS BIGINT) AS n FROM counts GROUP BY id),
+whole AS (SELECT CAST(sum(f) AS BIGINT) AS t FROM counts),
+wide AS (SELECT c.id, c.term, c.f, n, occurrences AS k, records AS d, t FROM counts c JOIN sized z ON c.id = z.id JOIN stats s ON c.term = s.term, whole),
+cases AS (SELECT DISTINCT f, n, k, t FROM wide),
+points AS (SELECT f, n, k, t, x, lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + lgamma(t - k + 1) - lgamma(n - x + 1)
+  - CASE WHEN t - k - n + x >= 0 THEN lgamma(t - k - n + x + 1) END - lgamma(t + 1) + lgamma(n + 1) + lgamma(t - n + 1) AS g
+  FROM (SELECT *, unnest(range(f, least(n, k) + 1)) AS x FROM cases)),
+tops AS (SELECT f, n, k, t, max(g) AS m FROM points GROUP BY ALL),
+tails AS (SELECT p.f, p.n, p.k, p.t, greatest(0, -(any_value(m) + ln(sum(exp(g - m))))) AS s
+  FROM points p JOIN tops o ON p.f = o.f AND p.n = o.n AND p.k = o.k AND p.t = o.t WHERE g IS NOT NULL GROUP BY ALL),
+surprises AS (SELECT w.*, CASE WHEN w.f <= w.n + w.k - w.t THEN 0 ELSE s END AS s FROM wide w LEFT JOIN tails q ON w.f = q.f AND w.n = q.n AND w.k = q.k AND w.t = q.t),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY id) AS m, count(*) OVER (PARTITION BY id ORDER BY s DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM surprises)
+SELECT id, term, f, n, k, d, round(s, 3) AS surprise,
+  round(greatest(0, max(s - ln(m / r)) OVER (PARTITION BY id ORDER BY s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 3) AS score FROM ranked""",
     "p10_found": f"""WITH {COUNTS},
 failed AS (SELECT doc_id, unnest([
   CASE WHEN words < 40 THEN 'few_words' END,

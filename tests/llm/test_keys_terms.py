@@ -200,7 +200,9 @@ def test_log_gamma():
     assert np.allclose(enrichment.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-13)
 
 
-def test_enrichment(spark, monkeypatch):
+@pytest.mark.parametrize("floor", [enrichment.HOT_FLOOR, 3.0])
+def test_enrichment(spark, monkeypatch, floor):
+    monkeypatch.setattr(enrichment, "HOT_FLOOR", floor)  # with 3 the frequent terms go the way of hot ones
     df, data = corpus(spark)
     counts = brute_counts(data)
     occ, rec = Counter(), Counter()

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -18,10 +18,8 @@ DEFAULT_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: fixed value: the pattern that cuts a text into pieces before the merges of this vocabulary
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes above which an unsplit piece is encoded as a tree of halves.
+#: Code points above which a text, and bytes above which an unsplit piece, is encoded as a tree of halves.
 HALVE = 2048
-#: Code points above which a text is spread over several rows.
-SPREAD = 1 << 18
 #: Tokens on either side of a join that are encoded again at first; doubled until both sides agree.
 WINDOW = 8
 
@@ -29,10 +27,12 @@ WINDOW = 8
 class TreeEncoder:
     """Byte-level BPE of many texts at once.
 
-    Texts are cut into the vocabulary's pieces by array operations on character classes; every distinct piece
-    of a block is encoded once and equal pieces (compared character by character, not only by hash) share
-    the ids. A piece of more than ``HALVE`` bytes is halved again and again; halves are encoded on their own
-    and joined by ``join``. Special tokens' strings are ordinary text.
+    A text of more than ``HALVE`` code points is halved again and again, at places inside an unsplit piece; the halves of
+    all texts of a block are encoded side by side and joined by ``join``, level by level. Halves are cut into the
+    vocabulary's pieces by array operations on character classes; every distinct piece of a block is encoded once and
+    equal pieces (compared character by character, not only by hash) share the ids. A piece of more than ``HALVE``
+    bytes is such a tree itself. Special tokens' strings are ordinary text. ``joins`` and ``widened`` count the joins and
+    the windows that had to grow.
     """
 
     def __init__(self, rank_lines: bytes):
@@ -46,6 +46,8 @@ class TreeEncoder:
         cls = classes().copy()
         cls[cls == MARK] = OTHER  # the pattern knows letters, numbers, white space and the rest
         self.cls = cls
+        self.unknown = unassigned().copy()
+        self.joins = self.widened = 0
 
     # -- tree of halves -------------------------------------------------------------------------------
 
@@ -66,6 +68,7 @@ class TreeEncoder:
         that reaches both ends is the encoding of the whole.
         """
         size = WINDOW
+        self.joins += 1
         while True:
             a, b = max(0, len(left) - size), min(len(right), size)
             middle = self.piece(b"".join(map(self.bytes_of, [*left[a:], *right[:b]])))
@@ -73,6 +76,7 @@ class TreeEncoder:
             if (a == 0 or fits(left[a - 1], middle[0])) and (b == len(right) or fits(middle[-1], right[b])):
                 return [*left[:a], *middle, *right[b:]]
             size *= 2
+            self.widened += 1
 
     # -- blocks of texts ------------------------------------------------------------------------------
 
@@ -106,12 +110,53 @@ class TreeEncoder:
         # nothing above moves a cut across a text's border
         return np.flatnonzero(cut)
 
-    def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of ids of each text)."""
+    def learn(self, cp: np.ndarray) -> None:
+        """Ask the library for the class of code points that have no character in this Python's Unicode tables.
+
+        The probe's vocabulary has the single bytes and the pairs of a letter or digit and a first byte, so the pair
+        shows whether the pattern keeps the two characters in one piece.
+        """
+        new = np.unique(cp[self.unknown[cp]])
+        if not len(new):
+            return
+        import tiktoken
+
+        first = [bytes([x]) for x in range(0xC2, 0xF5)]
+        ranks = {t: i for i, t in enumerate([*(bytes([x]) for x in range(256)), *(b"a" + x for x in first), *(b"1" + x for x in first)])}
+        probe = tiktoken.Encoding("probe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        for c in new.tolist():
+            kept = [probe.encode_ordinary(x + chr(c))[0] >= 256 for x in "a1"]
+            self.cls[c] = LETTER if kept[0] else NUMBER if kept[1] else OTHER
+        self.unknown[new] = False
+
+    def halves(self, text: str) -> list[str]:
+        """The leaves of a text's tree: cut in the middle, or at the next place inside an unsplit piece, until short."""
+        cp = codepoints(text)
+        self.learn(cp)
+        cls, quote = self.cls[cp], cp == 39
+        inside = np.zeros(len(cp), bool)
+        inside[1:] = cls[1:] == cls[:-1]
+        inside[:-1] &= (cls[:-1] != SPACE) | (cls[1:] == SPACE)
+        inside[-1:] &= cls[-1:] != SPACE
+        for back in range(min(5, len(cp))):  # an apostrophe may take letters with it
+            inside[back:] &= ~quote[: len(cp) - back]
+        places, out, todo = np.flatnonzero(inside), [], [(0, len(cp))]
+        while todo:
+            a, b = todo.pop()
+            i = np.searchsorted(places, (a + b) // 2) if b - a > HALVE else len(places)
+            if i < len(places) and a < places[i] < b:
+                todo += [(int(places[i]), b), (a, int(places[i]))]  # the left one first
+            else:
+                out.append(text[a:b])
+        return out
+
+    def encode_block(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """(ids of all texts in a row; per text: number of ids, of ids of its first and of its last piece, of pieces)."""
         whole = "".join(texts)
         if not whole:
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+            return np.zeros(0, np.int32), *[np.zeros(len(texts), np.int64)] * 4
         cp = codepoints(whole)
+        self.learn(cp)
         offsets = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) for t in texts], out=offsets[1:])
         starts = self.cuts(cp, offsets)
@@ -124,7 +169,7 @@ class TreeEncoder:
         shift = np.repeat(starts[first][code] - starts, np.where(same, width, 0))
         at = np.flatnonzero(np.repeat(same, width))
         if not same.all() or not np.array_equal(cp[at], cp[at + shift]):
-            return self._plain(texts)
+            first = code = np.arange(len(starts))  # two pieces of one hash: every piece for itself
         ids = []
         for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
             p = whole[s:e]
@@ -140,32 +185,59 @@ class TreeEncoder:
         total = np.cumsum(count)
         pick = np.arange(total[-1]) + np.repeat(base[code] - (total - count), count)
         flat = np.concatenate(ids)[pick]
-        done = np.append(0, total)[np.searchsorted(starts, offsets)]
-        return flat, np.diff(done)
-
-    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [np.asarray(self.own.encode_ordinary(t), np.int32) for t in texts]
-        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+        border = np.searchsorted(starts, offsets)
+        pieces = np.diff(border)
+        head = count[np.minimum(border[:-1], len(count) - 1)] * (pieces > 0)
+        tail = count[np.maximum(border[1:] - 1, 0)] * (pieces > 0)
+        return flat, np.diff(np.append(0, total)[border]), head, tail, pieces
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of ids of each); null and empty texts have none.
-
-        Texts with code points that have no character in this Python's Unicode tables go the library's own
-        way, whose tables may be newer.
-        """
+        """(ids of all texts in a row, number of ids of each); null and empty texts have none."""
         texts = [t or "" for t in texts]
-        flats, counts = [], []
-        for a, b in blocks(texts, BLOCK):
-            part = texts[a:b]
-            if not "".join(part).isascii() and unassigned()[codepoints("".join(part))].any():
-                flat, count = self._plain(part)
-            else:
-                flat, count = self.encode_block(part)
-            flats.append(flat)
-            counts.append(count)
-        if not flats:
+        trees = [self.halves(t) if len(t) > HALVE else [t] for t in texts]
+        leaves = [x for t in trees for x in t]
+        got = [self.encode_block(leaves[a:b]) for a, b in blocks(leaves, BLOCK)]
+        if not got:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        return np.concatenate(flats), np.concatenate(counts)
+        flat, count, head, tail, pieces = (np.concatenate(c) for c in zip(*got, strict=True))
+        if len(leaves) == len(texts):
+            return flat, count
+        end = np.cumsum(count)
+        out, sizes, i = [], [], 0
+        for t in trees:
+            if len(t) == 1:
+                part = flat[end[i] - count[i] : end[i]]
+            else:
+                own = range(i, i + len(t))
+                part = self._grow([Half(flat[end[k] - count[k] : end[k]].tolist(), int(head[k]), int(tail[k]), pieces[k] == 1) for k in own]).ids
+            out.append(np.asarray(part, np.int32))
+            sizes.append(len(part))
+            i += len(t)
+        return np.concatenate(out), np.array(sizes, np.int64)
+
+    def _grow(self, level: list[Half]) -> Half:
+        """Join neighbours until one is left."""
+        while len(level) > 1:
+            pairs = [self.join_halves(x, y) for x, y in zip(level[::2], level[1::2], strict=False)]
+            level = pairs + level[len(level) - len(level) % 2 :]
+        return level[0]
+
+    def join_halves(self, left: Half, right: Half) -> Half:
+        """Both sides of the cut lie in one unsplit piece: only it goes through the growing windows."""
+        a = len(left.ids) - left.tail
+        joint = self.join(left.ids[a:], right.ids[: right.head])
+        ids = [*left.ids[:a], *joint, *right.ids[right.head :]]
+        return Half(ids, len(joint) if left.single else left.head, len(joint) if right.single else right.tail, bool(left.single and right.single))
+
+
+@dataclass
+class Half:
+    """Ids of a part of a text, how many of them are its first and its last piece's, and whether it is one piece only."""
+
+    ids: list[int]
+    head: int
+    tail: int
+    single: bool
 
 
 _MADE: dict[int, TreeEncoder] = {}
@@ -185,127 +257,34 @@ def id_lists(flat: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-#: Where a text may be cut without touching any piece: before white space that follows something else.
-SAFE = re.compile(r"(?<=\S)(?= )")
-
-
-def spread_points(text: str, size: int = SPREAD) -> list[int]:
-    """Cuts of a long text into parts of about ``size``: at a safe place if one lies near, else anywhere but near
-    an apostrophe or a class border (then both neighbours lie in one unsplit piece)."""
-    out, at = [], size
-    table = classes()
-
-    def kind(i: int) -> int:
-        return {LETTER: 1, NUMBER: 2, SPACE: 3}.get(int(table[ord(text[i])]), 4)
-
-    def inside(i: int) -> bool:
-        if "'" in text[max(0, i - 4) : i + 1] or kind(i) != kind(i - 1):
-            return False
-        return kind(i) != 3 or (i + 1 < len(text) and kind(i + 1) == 3)
-
-    while at < len(text):
-        m = SAFE.search(text, at, min(len(text), at + size // 4))
-        if m:
-            at = m.start()
-        else:
-            while at < len(text) and not inside(at):
-                at += 1
-        if at < len(text):
-            out.append(at)
-        at += size
-    return out
-
-
 def encode_documents(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", directory: str = DEFAULT_DIR, vocabulary: str = VOCABULARY, spread: int = SPREAD
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", directory: str = DEFAULT_DIR, vocabulary: str = VOCABULARY, report: bool = False
 ) -> DataFrame:
     """(key, ids) of every row: its text's ids without special tokens, an empty list for null or empty text.
 
-    One row out per row in, repeated rows included. Short texts are encoded where they lie, without a shuffle.
-    Texts above ``spread`` code points are cut into parts, the parts shuffled over all tasks and encoded
-    there, and the parts of a text joined again (see ``join_parts``). The vocabulary file is read by the
+    One row out per row in, repeated rows included; ``report`` adds the batch's ``joins`` and ``widened`` windows to its first
+    row (0 in others). Plan: one scan, no shuffle; the halves of all texts of a batch are encoded side by side by array
+    operations, so a long text is no slower a character than short ones. The vocabulary file is read by the
     driver and travels to the workers as a broadcast of its (bounded, under 2 MB) bytes.
     """
     spark = docs.sparkSession
     lines = spark.sparkContext.broadcast(Path(directory, vocabulary).read_bytes())
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     kind = rows.schema["_k"].dataType.simpleString()
-    is_long = F.length("_t") > spread
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(lines.value)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                ids = id_lists(*enc.encode(part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["_k", "ids"])
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, t, uid in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                points = [0, *spread_points(t, spread), len(t)]
-                parts = [t[x:y] for x, y in zip(points, points[1:], strict=False)]
-                n = len(parts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k.as_py()] * n, k.type), pa.array([uid] * n), pa.array(range(n), pa.int32()), pa.array(parts)], names=["_k", "uid", "no", "part"]
-                )
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(lines.value)
-        for b in batches:
-            ids = id_lists(*enc.encode(b.column(3).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), ids], names=["_k", "uid", "no", "part", "ids"])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(lines.value)
-        for b in batches:
-            for k, parts, ids in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                got = join_parts(enc, parts, ids)
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], k.type), id_lists(np.asarray(got, np.int32), np.array([len(got)]))], names=["_k", "ids"])
-
-    here = rows.where(F.col("_t").isNull() | ~is_long).mapInArrow(short, f"_k {kind}, ids array<int>")
-    far = rows.where(is_long).withColumn("uid", F.expr("uuid()")).mapInArrow(pieces, f"_k {kind}, uid string, no int, part string")
-    far = far.repartition("uid", "no").mapInArrow(encoded, f"_k {kind}, uid string, no int, part string, ids array<int>")
-    parts = far.groupBy("uid").agg(F.first("_k").alias("_k"), F.sort_array(F.collect_list(F.struct("no", "part", "ids"))).alias("_p"))
-    far = parts.select("_k", F.col("_p.part").alias("parts"), F.col("_p.ids").alias("ids")).mapInArrow(joined, f"_k {kind}, ids array<int>")
-    return here.unionByName(far).select(F.col("_k").alias(key), "ids")
-
-
-def join_parts(enc: TreeEncoder, parts: list[str], ids: list[list[int]]) -> list[int]:
-    """Ids of the concatenated parts: joined pairwise as a tree.
-
-    At a safe cut the ids are simply put together. Elsewhere both sides lie in one unsplit piece: the joint
-    piece is cut out of both sides' ids and only it goes through the growing windows.
-    """
-    level = list(zip(parts, ids, strict=True))
-    while len(level) > 1:
-        up = []
-        for i in range(0, len(level) - 1, 2):
-            (lt, li), (rt, ri) = level[i], level[i + 1]
-            up.append((lt + rt, _join_texts(enc, lt, li, rt, ri)))
-        if len(level) % 2:
-            up.append(level[-1])
-        level = up
-    return level[0][1] if level else []
-
-
-def _join_texts(enc: TreeEncoder, lt: str, li: list[int], rt: str, ri: list[int]) -> list[int]:
-    if rt[0] == " " and not lt[-1].isspace():
-        return [*li, *ri]
-    tail = len("".join(_pieces(enc, lt)[-1:]).encode("utf-8", "replace"))
-    head = len("".join(_pieces(enc, rt)[:1]).encode("utf-8", "replace"))
-    a, n = len(li), 0
-    while n < tail:
-        a -= 1
-        n += len(enc.bytes_of(li[a]))
-    b, n = 0, 0
-    while n < head:
-        n += len(enc.bytes_of(ri[b]))
-        b += 1
-    return [*li[:a], *enc.join(li[a:], ri[:b]), *ri[b:]]
-
-
-def _pieces(enc: TreeEncoder, text: str) -> list[str]:
-    cp = codepoints(text)
-    at = [*enc.cuts(cp, np.array([0, len(cp)])).tolist(), len(cp)]
-    return [text[x:y] for x, y in zip(at, at[1:], strict=False)]
+                before = enc.joins, enc.widened
+                out = [part.column(0), id_lists(*enc.encode(part.column(1).to_pylist()))]
+                names = ["_k", "ids"]
+                if report:
+                    for name, x in zip(("joins", "widened"), (enc.joins - before[0], enc.widened - before[1]), strict=True):
+                        out.append(pa.array([x] + [0] * (part.num_rows - 1), pa.int64()))
+                        names.append(name)
+                yield pa.RecordBatch.from_arrays(out, names=names)
+
+    done = rows.mapInArrow(run, f"_k {kind}, ids array<int>" + ", joins long, widened long" * report)
+    return done.withColumnRenamed("_k", key)

@@ -60,6 +60,12 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def p8_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: documents, ids, joins of halves and windows that had to grow."""
+    rows = encoding.encode_documents(table(spark, sf_dir, "documents"), report=True)
+    return rows.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("ids").cast("long")).alias("ids"), F.sum("joins").alias("joins"), F.sum("widened").alias("widened"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -117,6 +123,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_scores": p7_scores,
     "p8_ids": p8_ids,
+    "p8_joins": p8_joins,
     "p9_found": p9_found,
     "p10_found": p10_found,
     "p10_counts": p10_counts,

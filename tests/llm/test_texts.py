@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 import regex
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from chronodoc.llm import encoding, leakage, quality, textscan
@@ -55,22 +55,54 @@ def test_tree_of_halves(enc, letters, n, seed):
         encoding.HALVE = before
 
 
+@pytest.fixture
+def short_halves():
+    before, encoding.HALVE = encoding.HALVE, 12
+    yield
+    encoding.HALVE = before
+
+
 @needs_vocabulary
-@settings(max_examples=150, deadline=None)
-@given(st.sampled_from([PIECES, ["a", "b"], [" "], ["世", "界", " "], ["="], ["\n", " "], ["'", "s", "t"]]), st.integers(1, 400), st.integers(0, 999))
-def test_spread_parts_join_exactly(enc, pieces, n, seed):
-    text = "".join(random.Random(seed).choices(pieces, k=n))
-    cut = [0, *encoding.spread_points(text, 40), len(text)]
-    parts = [text[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-    assert list(encoding.join_parts(enc, parts, [enc.own.encode_ordinary(p) for p in parts])) == enc.own.encode_ordinary(text)
+@settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from([PIECES, ["a", "b"], [" "], ["世", "界", " "], ["="], ["\n", " "], ["'", "s", "t"], ["a", "1", "!"]]), st.integers(0, 300)), min_size=1, max_size=4), st.integers(0, 999))
+def test_trees_of_texts(enc, short_halves, kinds, seed):
+    rng = random.Random(seed)
+    texts = ["".join(rng.choices(pieces, k=n)) for pieces, n in kinds]
+    assert all("".join(enc.halves(t)) == t for t in texts if t)
+    assert as_lists(*enc.encode(texts)) == [enc.own.encode_ordinary(t) for t in texts]
+
+
+@needs_vocabulary
+@settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(max_size=200), min_size=1, max_size=4))
+def test_trees_of_any_text(enc, short_halves, texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    assert as_lists(*enc.encode(texts)) == [enc.own.encode_ordinary(t) for t in texts]
+
+
+@needs_vocabulary
+def test_classes_unknown_to_python(enc):
+    new = np.flatnonzero(textscan.unassigned())
+    some = [chr(c) for c in new[:: len(new) // 4000] if not 0xD800 <= c < 0xE000]
+    texts = [f"ab{c}cd {c}12{c} !{c}{c}" for c in some] + ["".join(some)]
+    assert as_lists(*enc.encode(texts)) == [enc.own.encode_ordinary(t) for t in texts]
+
+
+@needs_vocabulary
+def test_two_pieces_of_one_hash(enc, monkeypatch):
+    monkeypatch.setattr(encoding, "span_hashes", lambda cp, starts, ends: (starts % 3).astype(np.uint64))
+    texts = ["one two three one", "", "four 5 six"]
+    assert as_lists(*enc.encode(texts)) == [enc.own.encode_ordinary(t) for t in texts]
 
 
 @needs_vocabulary
 def test_encode_documents(spark, enc):
-    texts = [None, "", "Hello world", "x" * 900, "lorem ipsum " * 200, "Hello world", "世界" * 300, "\n" * 500]
+    texts = [None, "", "Hello world", "x" * 90_000, "lorem ipsum " * 2000, "Hello world", "世界" * 3000, "\n" * 5000, "a1" * 3000]
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(2, "Hello world", 0)], "doc_id long, text string, ids int")
-    got = sorted((r["doc_id"], r["ids"]) for r in encoding.encode_documents(df, spread=256).collect())
+    got = sorted((r["doc_id"], r["ids"]) for r in encoding.encode_documents(df).collect())
     assert got == sorted([(i, enc.own.encode_ordinary(t or "")) for i, t in enumerate(texts)] + [(2, enc.own.encode_ordinary("Hello world"))])
+    figures = encoding.encode_documents(df.coalesce(1), report=True).agg(F.sum("joins"), F.count("ids")).first()
+    assert figures[0] > 40 and figures[1] == len(texts) + 1
     assert encoding.encode_documents(df.limit(0)).count() == 0
 
 

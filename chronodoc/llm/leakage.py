@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import pickle
+import uuid
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronodoc.llm.textscan import Terms, blocks, hash_terms, scan_terms
+from chronodoc.session import scratch
 
 TERM = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 K1, B = 1.5, 0.75
@@ -22,8 +26,10 @@ SHINGLE = 5
 PASSAGE = 96
 #: Postings of a block whose largest weight is kept.
 BLOCK_POSTINGS = 8
-#: Items of one index; larger item tables are searched index by index, each of a bounded size.
+#: Items of one index, which one task builds.
 ITEMS_PER_INDEX = 20_000
+#: Bytes of indexes that one scan of the texts works with.
+INDEX_BYTES = 1 << 30
 SLACK = 1 - 1e-9
 
 
@@ -46,22 +52,22 @@ class ItemIndex:
     The threshold of an item is the lowest BM25 score that a passage sharing one of its runs can have: the
     smallest sum of weights of distinct shingles over all its windows of ``run`` terms (over all its shingles if
     it has fewer). Retrieval of everything at or above 1 therefore misses no passage that shares a run.
+    Postings and block maxima lie in flat arrays; ``items`` are (id, terms), repeated ids allowed.
     """
 
-    def __init__(self, items: dict[int, list[str]], run: int, size: int):
-        self.run, self.size, self.terms = run, size, items
+    def __init__(self, items: list[tuple[object, list[str]]], run: int, size: int):
+        self.run, self.size = run, size
         self.overlap = run - size
-        self.ids = sorted(items)
+        self.ids, self.terms = [i for i, _ in items], [t for _, t in items]
         n = max(1, len(self.ids))
-        shingles = {i: shingle_hashes(hash_terms(items[i]), size).tolist() for i in self.ids}
-        average = sum(map(len, shingles.values())) / n
-        df = Counter(g for i in self.ids for g in set(shingles[i]))
+        shingles = [shingle_hashes(hash_terms(t), size).tolist() for t in self.terms]
+        average = sum(map(len, shingles)) / n
+        df = Counter(g for mine in shingles for g in set(mine))
         self.hashes = np.array(sorted(df), np.uint64)
         number = {g: k for k, g in enumerate(self.hashes.tolist())}
-        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        postings: list[list[tuple[int, float]]] = [[] for _ in number]
         width = run - size + 1
-        for slot, i in enumerate(self.ids):
-            mine = shingles[i]
+        for slot, mine in enumerate(shingles):
             weight = {}
             for g, tf in Counter(mine).items():
                 idf = math.log((n - df[g] + 0.5) / (df[g] + 0.5) + 1)
@@ -70,10 +76,17 @@ class ItemIndex:
             least = min(sum(weight[g] for g in set(s)) for s in spans)
             for g, x in weight.items():
                 postings[number[g]].append((slot, x / least))
-        self.post = [tuple(zip(*postings[k], strict=True)) for k in range(len(self.hashes))]
-        self.best = np.array([max(p[1]) for p in self.post])
-        self.block_best = [[max(p[1][a : a + BLOCK_POSTINGS]) for a in range(0, len(p[0]), BLOCK_POSTINGS)] for p in self.post]
-        self.grams: dict[int, frozenset] = {}
+        self.start, self.first_block = [0], [0]
+        self.slot, self.weight, self.block_best = array("i"), array("d"), array("d")
+        for p in postings:
+            slots, weights = zip(*p, strict=True)
+            self.slot.extend(slots)
+            self.weight.extend(weights)
+            self.block_best.extend(max(weights[a : a + BLOCK_POSTINGS]) for a in range(0, len(p), BLOCK_POSTINGS))
+            self.start.append(len(self.slot))
+            self.first_block.append(len(self.block_best))
+        self.best = np.array([max(x for _, x in p) for p in postings])
+        self.grams: dict[int, dict] = {}
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of shingle hashes, -1 where no item has the shingle."""
@@ -81,13 +94,14 @@ class ItemIndex:
         return np.where(self.hashes[at] == hashes, at, -1)
 
     def search(self, words: list[int]) -> list[int]:
-        """All items with a score of at least 1 for a passage of these distinct words, by block-max WAND.
+        """Slots of all items with a score of at least 1 for a passage of these distinct words, by block-max WAND.
 
         Cursors over the postings are kept in item order. The pivot is the first item at which the summed
         upper bounds reach the bar; if the bounds of the blocks around it do not, all cursors up to the pivot
         jump past the nearest block end; otherwise the item is scored or the cursors before it move up to it.
         """
-        cursors = [[self.post[w][0][0], w, 0] for w in words]
+        start, slot, weight = self.start, self.slot, self.weight
+        cursors = [[slot[start[w]], w, start[w]] for w in words]
         found = []
         while cursors:
             cursors.sort()
@@ -104,72 +118,98 @@ class ItemIndex:
                 pivot += 1
             local, border = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else len(self.ids)
             for _, w, pos in cursors[: pivot + 1]:
-                docs = self.post[w][0]
-                b = pos // BLOCK_POSTINGS
-                while b < len(self.block_best[w]) and docs[min(len(docs), (b + 1) * BLOCK_POSTINGS) - 1] < item:
-                    b += 1
-                if b < len(self.block_best[w]):
-                    local += self.block_best[w][b]
-                    border = min(border, docs[min(len(docs), (b + 1) * BLOCK_POSTINGS) - 1] + 1)
+                stop, at = start[w + 1], pos - (pos - start[w]) % BLOCK_POSTINGS
+                while at < stop and slot[min(stop, at + BLOCK_POSTINGS) - 1] < item:
+                    at += BLOCK_POSTINGS
+                if at < stop:
+                    local += self.block_best[self.first_block[w] + (at - start[w]) // BLOCK_POSTINGS]
+                    border = min(border, slot[min(stop, at + BLOCK_POSTINGS) - 1] + 1)
             if local < SLACK:
                 goal = max(border, item + 1)
             elif cursors[0][0] == item:
-                score = sum(self.post[w][1][pos] for at, w, pos in cursors[: pivot + 1] if at == item)
+                score = sum(weight[pos] for at, _, pos in cursors[: pivot + 1] if at == item)
                 if score >= SLACK:
-                    found.append(self.ids[item])
+                    found.append(item)
                 goal = item + 1
             else:
                 goal = item
             for c in cursors[: pivot + 1]:
-                docs = self.post[c[1]][0]
-                while c[2] < len(docs) and docs[c[2]] < goal:
+                stop = start[c[1] + 1]
+                while c[2] < stop and slot[c[2]] < goal:
                     c[2] += 1
-                c[0] = docs[c[2]] if c[2] < len(docs) else -1
+                c[0] = slot[c[2]] if c[2] < stop else -1
             cursors = [c for c in cursors if c[0] >= 0]
         return found
 
-    def overlaps(self, terms: list[str], item: int) -> bool:
-        """True if terms and item share a run, or the terms hold the whole of an item shorter than a run."""
+    def overlap_of(self, terms: list[str], item: int) -> tuple[int, int, int] | None:
+        """(length, place in the terms, place in the item) of the longest run of terms that both share, the first of
+        several by place in the terms, then in the item; None if it is shorter than a run (or than a short item)."""
         mine = self.terms[item]
         n = min(self.run, len(mine))
         if item not in self.grams:
-            self.grams[item] = frozenset(tuple(mine[a : a + n]) for a in range(len(mine) - n + 1))
-        grams = self.grams[item]
-        return any(tuple(terms[a : a + n]) in grams for a in range(len(terms) - n + 1))
+            places = defaultdict(list)
+            for a in range(len(mine) - n + 1):
+                places[tuple(mine[a : a + n])].append(a)
+            self.grams[item] = dict(places)
+        grams, open_runs, best = self.grams[item], {}, None
+        for a in range(len(terms) - n + 1):
+            now = {}
+            for b in grams.get(tuple(terms[a : a + n]), ()):
+                length, x, y = open_runs.get(b - 1, (n - 1, a, b))
+                now[b] = (length + 1, x, y)
+                if best is None or (-length - 1, x, y) < (-best[0], *best[1:]):
+                    best = now[b]
+            open_runs = now
+        return best
 
 
 class LeakFinder:
-    """Queries every passage of every text against the items' indexes (one per shingle size)."""
-
-    def __init__(self, items: list[tuple[int, str]], run: int = 13):
-        sized: dict[int, dict[int, list[str]]] = defaultdict(dict)
-        for i, text in items:
-            if text is not None and (t := term_list(text)):
-                sized[min(SHINGLE, run, len(t))][i] = t
-        self.indexes = [ItemIndex(own, run, size) for size, own in sorted(sized.items())]
+    """Queries every passage of every text against several indexes in one scan of the text.
+
+    A table of bits over the shingle hashes of all indexes of one shingle size lets through only shingles that some
+    item may have; each index then looks up these few.
+    """
+
+    def __init__(self, indexes: list[ItemIndex]):
+        self.sized: dict[int, list[ItemIndex]] = defaultdict(list)
+        for ix in indexes:
+            self.sized[ix.size].append(ix)
+        self.bits = {}
+        for size, own in self.sized.items():
+            width = max(10, int(sum(len(ix.hashes) for ix in own) * 16).bit_length())
+            table = np.zeros(1 << width, bool)
+            for ix in own:
+                table[(ix.hashes >> np.uint64(64 - width)).astype(np.int64)] = True
+            self.bits[size] = table, np.uint64(64 - width)
         self.passages = self.searched = self.candidates = 0
 
-    def find(self, texts: list[str]) -> list[tuple[int, int]]:
-        """(position of the text, item id), each pair once."""
-        out = []
+    def find(self, texts: list[str]) -> list[tuple[int, object, int, int, int]]:
+        """(position of the text, item id, length, place in the text, place in the item): the longest shared run of each pair."""
+        out: dict[tuple, tuple] = {}
         for a, b in blocks(texts):
             scan = scan_terms(texts[a:b])
-            for index in self.indexes:
-                out += [(a + i, item) for i, item in self._block(scan, index)]
-        return out
+            for size, own in self.sized.items():
+                hashes = shingle_hashes(scan.hashes, size)
+                table, shift = self.bits[size]
+                at = np.flatnonzero(table[(hashes >> shift).astype(np.int64)])
+                for ix in own:
+                    for i, item, (length, x, y) in self._block(scan, hashes, at, ix):
+                        key, run = (a + i, ix.ids[item]), (-length, x, y)
+                        out[key] = min(run, out.get(key, run))
+        return [(i, item, -length, x, y) for (i, item), (length, x, y) in out.items()]
 
-    def _block(self, scan: Terms, ix: ItemIndex) -> list[tuple[int, int]]:
+    def _block(self, scan: Terms, hashes: np.ndarray, at: np.ndarray, ix: ItemIndex) -> Iterator[tuple[int, int, tuple]]:
         step = PASSAGE - ix.overlap
         counts = np.maximum(0, np.diff(scan.bounds) - ix.size + 1)
-        known = ix.numbers(shingle_hashes(scan.hashes, ix.size))
-        at = np.flatnonzero(known >= 0)
+        self.passages += int(np.maximum(1, -(-counts // step)).sum())
+        word = ix.numbers(hashes[at])
+        at, word = at[word >= 0], word[word >= 0]
         text_of = np.searchsorted(scan.bounds, at, "right") - 1
         place = at - scan.bounds[text_of]
         inside = place < counts[text_of]  # no shingle reaches from one text into the next
-        at, text_of, place = at[inside], text_of[inside], place[inside]
-        if not len(at):
-            return []
-        word = known[at]
+        text_of, place, word = text_of[inside], place[inside], word[inside]
+        if not len(word):
+            return
         # passage p of a text holds its shingles p * step .. p * step + PASSAGE - 1
         first = np.concatenate([[0], np.cumsum(np.maximum(1, -(-counts // step)))])
         own = first[text_of] + place // step
@@ -177,9 +217,8 @@ class LeakFinder:
         n = len(ix.hashes)
         key = np.unique(np.concatenate([own * n + word, (own[back] - 1) * n + word[back]]))
         passage, word = np.divmod(key, n)
-        ceiling = np.bincount(passage, ix.best[word], minlength=int(first[-1]))
-        hot = np.flatnonzero(ceiling >= SLACK)
-        self.passages += int(first[-1])
+        some, of = np.unique(passage, return_inverse=True)
+        hot = some[np.bincount(of, ix.best[word]) >= SLACK]
         self.searched += len(hot)
         begin, end = np.searchsorted(passage, hot), np.searchsorted(passage, hot, "right")
         owner = np.searchsorted(first, hot, "right") - 1
@@ -187,52 +226,105 @@ class LeakFinder:
         for a, b, i in zip(begin.tolist(), end.tolist(), owner.tolist(), strict=True):
             pairs.update((i, item) for item in ix.search(word[a:b].tolist()))
         self.candidates += len(pairs)
-        out, have, terms = [], -1, []
+        have, terms = -1, []
         for i, item in sorted(pairs):
             if i != have:
                 have, terms = i, TERM.findall(scan.lowered[i])
-            if ix.overlaps(terms, item):
-                out.append((i, item))
-        return out
+            run = ix.overlap_of(terms, item)
+            if run:
+                yield i, item, run
+
+
+def built_indexes(items: DataFrame, item_key: str, item_text: str, run: int) -> DataFrame:
+    """(block, size, bytes): pickled indexes of at most about ``ITEMS_PER_INDEX`` items each, built by the tasks in parallel
+    and written to the shared folder. Null and wordless items are in none."""
+    spark = items.sparkSession
+    rows = items.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("id"), F.col(item_text).alias("text"))
+    n = max(1, -(-rows.count() // ITEMS_PER_INDEX))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            sized: dict[int, list] = defaultdict(list)
+            for i, text in held:
+                if t := term_list(text):
+                    sized[min(SHINGLE, run, len(t))].append((i, t))
+            for size, own in sorted(sized.items()):
+                made = pickle.dumps(ItemIndex(own, run, size), protocol=5)
+                yield pa.RecordBatch.from_arrays([pa.array([here], pa.int32()), pa.array([size], pa.int32()), pa.array([made], pa.binary())], names=["block", "size", "made"])
+
+        for b in batches:
+            for block, i, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if block != here:
+                    yield from flush()
+                    here, held = block, []
+                held.append((i, text))
+        yield from flush()
+
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int").alias("block")
+    path = scratch(spark, "items")
+    laid = rows.select(block, "id", "text").repartition("block").sortWithinPartitions("block", "id", "text")
+    laid.mapInArrow(build, "block int, size int, made binary").write.parquet(path)
+    return spark.read.schema("block int, size int, made binary").parquet(path)
 
 
-def leaked_items(
+_FINDERS: dict[tuple, LeakFinder] = {}
+
+
+def _finder(key: str, sent: list) -> LeakFinder:
+    """The finder of a search, made once per Python worker."""
+    if key not in _FINDERS:
+        _FINDERS.clear()
+        _FINDERS[key] = LeakFinder([pickle.loads(s.value) for s in sent])
+    return _FINDERS[key]
+
+
+def overlaps(
     docs: DataFrame, items: DataFrame, *, run: int = 13, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "item_text"
 ) -> DataFrame:
-    """(key, item_key) of texts and items whose term sequences share ``run`` consecutive terms.
+    """(key, item_key, length, doc_at, item_at) of texts and items whose term sequences share ``run`` consecutive terms.
 
-    For items with fewer terms the text must hold the item's whole sequence. One row a pair and input row;
-    null, empty and wordless texts or items match nothing; items with equal texts all match. Items of one
-    index are bounded by ``ITEMS_PER_INDEX``; larger item tables are read by the driver and searched index by
-    index. Plan: one scan of the texts without any shuffle; the index travels as a broadcast.
+    For items with fewer terms the text must hold the item's whole sequence. ``length``, ``doc_at``, ``item_at``: the longest
+    shared run in terms and where it starts in both (from 0), the first of equally long ones. One row a pair and input
+    row; null, empty and wordless texts or items match nothing; items with equal texts all match.
+
+    Plan: the item indexes are built by tasks, in blocks of items; the driver passes them on as broadcasts one by one, so that
+    it never holds more than one, and a worker unpacks them once for all its tasks. The texts are scanned once without
+    any shuffle for every ``INDEX_BYTES`` of indexes (about half a million items).
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key), F.col(text))
     kinds = [rows.schema[0].dataType.simpleString(), items.schema[item_key].dataType.simpleString()]
+    schema = f"{key} {kinds[0]}, {item_key} {kinds[1]}, length int, doc_at long, item_at int"
+    passes, size = [[]], 0
+    for r in built_indexes(items, item_key, item_text, run).select("made").toLocalIterator():
+        if size and size + len(r["made"]) > INDEX_BYTES:
+            passes.append([])
+            size = 0
+        size += len(r["made"])
+        passes[-1].append(spark.sparkContext.broadcast(bytes(r["made"])))
     found = None
-    block: list[tuple[int, str]] = []
-    blocks_of_items = []
-    for r in items.where(F.col(item_text).isNotNull()).select(item_key, item_text).toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == ITEMS_PER_INDEX:
-            blocks_of_items.append(block)
-            block = []
-    for part in [*blocks_of_items, block] if block or not blocks_of_items else blocks_of_items:
-        sent = spark.sparkContext.broadcast((part, run))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            finder = LeakFinder(*sent.value)
+    for sent in passes:
+        name = uuid.uuid4().hex
+
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            finder = _finder(name, sent)
             for b in batches:
                 keys = b.column(0)
                 for at in range(0, b.num_rows, 1024):
-                    texts = [t or "" for t in b.column(1).slice(at, 1024).to_pylist()]
-                    got = finder.find(texts)
+                    got = finder.find([t or "" for t in b.column(1).slice(at, 1024).to_pylist()])
                     if got:
-                        rows, found = zip(*got, strict=True)
-                        yield pa.RecordBatch.from_arrays(
-                            [keys.take(pa.array([at + r for r in rows])), pa.array(found)], names=[key, item_key]
-                        )
+                        who, found, *places = zip(*got, strict=True)
+                        kept = [pa.array(x, t) for x, t in zip(places, (pa.int32(), pa.int64(), pa.int32()), strict=True)]
+                        yield pa.RecordBatch.from_arrays([keys.take(pa.array([at + r for r in who])), pa.array(found), *kept], names=[key, item_key, "length", "doc_at", "item_at"])
 
-        one = rows.mapInArrow(search, f"{key} {kinds[0]}, {item_key} {kinds[1]}")
+        one = rows.mapInArrow(search, schema)
         found = one if found is None else found.unionByName(one)
     return found
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """(key, item_key) of ``overlaps``: which test items leaked into which texts."""
+    found = overlaps(docs, items, **options)
+    return found.select(*found.columns[:2])

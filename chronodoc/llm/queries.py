@@ -70,6 +70,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of an item leaked, and from where to where: the longest shared run of terms."""
+    return leakage.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.failed_checks(quality.text_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words")))
 
@@ -111,6 +116,15 @@ counted AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS words,
   CAST(len(list_filter(words, lambda w: list_contains(vs, w))) AS BIGINT) AS common FROM docs, vocabulary)
 """
 
+RUNS = r"""
+docs AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL),
+items AS (SELECT item_id, list_filter(regexp_split_to_array(lower(item_text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS ws FROM eval_items WHERE item_text IS NOT NULL),
+sized AS (SELECT item_id, ws, least(13, len(ws)) AS n FROM items WHERE len(ws) > 0),
+item_runs AS (SELECT item_id, n, a, array_to_string(ws[a : a + n - 1], ' ') AS run FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS a FROM sized)),
+sizes AS (SELECT DISTINCT n FROM sized),
+doc_runs AS (SELECT doc_id, n, a, array_to_string(ws[a : a + n - 1], ' ') AS run FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS a FROM docs, sizes))
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
@@ -125,6 +139,7 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p8_joins": p8_joins,
     "p9_found": p9_found,
+    "p9_overlaps": p9_overlaps,
     "p10_found": p10_found,
     "p10_counts": p10_counts,
     "p10_quality": p10_quality,
@@ -186,14 +201,13 @@ failed AS (SELECT doc_id, unnest([
   CASE WHEN words > 0 AND common / words < 0.15 THEN 'common_words' END]) AS failed_check FROM counted)
 SELECT * FROM failed WHERE failed_check IS NOT NULL""",
     "p10_counts": f"WITH {COUNTS} SELECT * FROM counted",
-    "p9_found": r"""WITH
-docs AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL),
-items AS (SELECT item_id, list_filter(regexp_split_to_array(lower(item_text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS ws FROM eval_items WHERE item_text IS NOT NULL),
-sized AS (SELECT item_id, ws, least(13, len(ws)) AS n FROM items WHERE len(ws) > 0),
-item_runs AS (SELECT DISTINCT item_id, n, array_to_string(ws[a : a + n - 1], ' ') AS run FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS a FROM sized)),
-sizes AS (SELECT DISTINCT n FROM sized),
-doc_runs AS (SELECT doc_id, n, array_to_string(ws[a : a + n - 1], ' ') AS run FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS a FROM docs, sizes))
-SELECT DISTINCT doc_id, item_id FROM doc_runs d JOIN item_runs i ON d.n = i.n AND d.run = i.run""",
+    "p9_found": f"WITH {RUNS} SELECT DISTINCT doc_id, item_id FROM doc_runs d JOIN item_runs i ON d.n = i.n AND d.run = i.run",
+    "p9_overlaps": f"""WITH {RUNS},
+hits AS (SELECT doc_id, item_id, d.n, d.a AS x, i.a AS y FROM doc_runs d JOIN item_runs i ON d.n = i.n AND d.run = i.run),
+isles AS (SELECT *, x - row_number() OVER (PARTITION BY doc_id, item_id, x - y ORDER BY x) AS g FROM hits),
+shared AS (SELECT doc_id, item_id, n + count(*) - 1 AS length, min(x) - 1 AS x, min(y) - 1 AS y FROM isles GROUP BY doc_id, item_id, n, x - y, g)
+SELECT doc_id, item_id, length::INTEGER AS length, x::BIGINT AS doc_at, y::INTEGER AS item_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY length DESC, x, y) AS r FROM shared) WHERE r = 1""",
 }
 
 

@@ -119,6 +119,23 @@ def test_scanned_terms(texts):
             assert np.array_equal(s.hashes[own], textscan.hash_terms(words))
 
 
+def brute_overlaps(docs, items, run=13):
+    out = []
+    for d, text in docs:
+        w = TERM.findall((text or "").lower())
+        for i, item in items:
+            m = TERM.findall((item or "").lower())
+            n, best = min(run, len(m)), (0, 0, 0)
+            before = {}
+            for x, word in enumerate(w):
+                now = {y: before.get(y - 1, 0) + 1 for y, other in enumerate(m) if other == word}
+                best = min([best, *((-k, x - k + 1, y - k + 1) for y, k in now.items())])
+                before = now
+            if n and -best[0] >= n:
+                out.append((d, i, -best[0], best[1], best[2]))
+    return sorted(out)
+
+
 def brute_leaks(docs, items, run=13):
     out = set()
     for d, text in docs:
@@ -148,28 +165,31 @@ def test_leaks(spark, rows):
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, item_id int")
     e = spark.createDataFrame([(*x, "c") for x in items], "item_id long, item_text string, text string")
     assert rows(leakage.leaked_items(d, e)) == brute_leaks(docs, items)
+    short = [x for x in docs if x[0] != 203]  # the slow brute force leaves out the long one
+    assert rows(leakage.overlaps(d.where("doc_id <> 203"), e)) == brute_overlaps(short, items)
     assert leakage.leaked_items(d, e.limit(0)).count() == 0 and leakage.leaked_items(d.limit(0), e).count() == 0
 
 
-def test_leaks_over_several_indexes(spark, rows, monkeypatch):
+@pytest.mark.parametrize("limit", [leakage.INDEX_BYTES, 1])
+def test_leaks_over_several_indexes(spark, rows, monkeypatch, limit):
     monkeypatch.setattr(leakage, "ITEMS_PER_INDEX", 2)
-    items = [(i, " ".join(f"t{i}_{j}".replace("_", "x") for j in range(15))) for i in range(5)]
-    docs = [(i, "some words " + items[i][1] + " more") for i in range(5)]
+    monkeypatch.setattr(leakage, "INDEX_BYTES", limit)  # with 1 every index takes a scan of its own
+    items = [(i, " ".join(f"t{i}_{j}".replace("_", "x") for j in range(15))) for i in range(5)] + [(9, "some"), (9, "other words here")]
+    docs = [(i, "some words " + items[i][1] + " more") for i in range(5)] + [(7, "other words here")]
     got = leakage.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string"))
-    assert rows(got) == [(i, i) for i in range(5)]
+    assert sorted(set(rows(got))) == sorted([(i, i) for i in range(5)] + [(i, 9) for i in range(5)] + [(7, 9)])
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10**6))
 def test_wand_finds_all_above_the_bar(seed):
     rng = random.Random(seed)
-    items = {i: [rng.choice("abcdefgh") for _ in range(rng.randrange(3, 30))] for i in range(25)}
-    ix = leakage.ItemIndex(items, 4, 2)
+    ix = leakage.ItemIndex([(i, [rng.choice("abcdefgh") for _ in range(rng.randrange(3, 30))]) for i in range(25)], 4, 2)
     words = sorted(rng.sample(range(len(ix.hashes)), min(len(ix.hashes), rng.randrange(1, 30))))
     score = {}
     for w in words:
-        for slot, x in zip(*ix.post[w], strict=True):
-            score[ix.ids[slot]] = score.get(ix.ids[slot], 0) + x
+        for at in range(ix.start[w], ix.start[w + 1]):
+            score[ix.slot[at]] = score.get(ix.slot[at], 0) + ix.weight[at]
     assert sorted(ix.search(words)) == sorted(i for i, s in score.items() if s >= leakage.SLACK)
 
 

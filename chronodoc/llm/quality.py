@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronodoc.llm.textscan import LETTER, NUMBER, Terms, blocks, classes, codepoints, hash_terms, scan_terms
-from chronodoc.session import bounded, scratch
+from chronodoc.session import scratch
 
 #: fixed values: characters that end a line of prose
 LINE_ENDS = ".!?;:。！？"
@@ -26,12 +26,12 @@ CHECKS = [
     ("line_ends", "line_ends", -1, 0.3),
     ("common_words", "common_words", -1, 0.15),
 ]
-#: Documents a language needs for a model of its own; smaller ones share the model of all documents.
-MIN_DOCUMENTS = 50
+#: Documents of the whole collection whose weight is added to the figures of every language.
+PRIOR = 50
 #: Squared distance that keeps a document in the core of prose: the 97.5 % point of chi-square with 5 degrees.
 CORE = 12.83
-#: Rounds of re-estimation on the core.
-ROUNDS = 3
+#: Most rounds of re-estimation on the core.
+ROUNDS = 6
 
 
 def scan_statistics(texts: list[str], common: np.ndarray) -> dict[str, np.ndarray]:
@@ -129,29 +129,77 @@ D = len(STATS)
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Per language and for all together: number of rows, sums and sums of products (one small row each)."""
+def _consistency(p: int, q: float, share: float) -> float:
+    """What the covariance of the core must be multiplied with: share / P(chi-square with p + 2 degrees <= q), p odd."""
+    total, term = 0.0, math.sqrt(2 * q / math.pi) * math.exp(-q / 2)
+    for k in range((p + 1) // 2):
+        total += term
+        term *= q / (2 * k + 3)
+    return share / (math.erf(math.sqrt(q / 2)) - total)
+
+
+def _shrunk(own: np.ndarray, n: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Averages per language, drawn towards that of all documents as if ``PRIOR`` of those belonged to each language."""
+    w = n.reshape(-1, *[1] * (own.ndim - 1))
+    return (own * w + whole * PRIOR) / (w + PRIOR)
+
+
+def _start(rows: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
+    """(languages, means, covariances): medians and squared, scaled median absolute deviations, on the diagonal.
+
+    Where the median deviation is zero (half the documents have the same value) the mean deviation stands in.
+    """
+    def figures(df: DataFrame, values: list[Column], *more: Column) -> list:
+        middle = [F.percentile_approx(v, 0.5, 10_000).alias(f"m{i}") for i, v in enumerate(values)]
+        return df.rollup("lang").agg(F.grouping("lang").alias("g"), F.count(F.lit(1)).alias("n"), *middle, *more).collect()  # one row a language
+
+    def split(found: list, name: str) -> tuple[dict, np.ndarray]:
+        get = lambda r: np.array([r[f"{name}{i}"] for i in range(D)], float)
+        return {r["lang"]: get(r) for r in found if not r["g"]}, next(get(r) for r in found if r["g"])
+
+    first = figures(rows, [F.col(s) for s in STATS])
+    n = {r["lang"]: r["n"] for r in first if not r["g"]}
+    langs = sorted(n)
+    if not langs:
+        return [], np.zeros((0, D)), np.zeros((0, D, D))
+    counts = np.array([n[x] for x in langs], float)
+    medians, whole = split(first, "m")
+    mu = _shrunk(np.array([medians[x] for x in langs]), counts, whole)
+    middle = rows.sparkSession.createDataFrame([(x, m.tolist()) for x, m in zip(langs, mu, strict=True)], "_l string, _m array<double>")
+    off = [F.abs(F.col(s) - F.col("_m")[i]) for i, s in enumerate(STATS)]
+    both = rows.join(F.broadcast(middle), F.col("lang") == F.col("_l"))  # one row a language
+    second = figures(both, off, *[F.avg(x).alias(f"a{i}") for i, x in enumerate(off)])
+    (mad, all_mad), (mean, all_mean) = split(second, "m"), split(second, "a")
+    scale = lambda m, a: np.where(m > 1e-9, 1.4826 * m, 1.2533 * a) ** 2 + 1e-6
+    var = _shrunk(np.array([scale(mad[x], mean[x]) for x in langs]), counts, scale(all_mad, all_mean))
+    return langs, mu, np.stack([np.diag(v) for v in var])
+
+
+def _core(rows: DataFrame, langs: list, mu: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents of the core per language, means, covariances) within the 97.5 % distance of a model, shrunk."""
+    near = scored(rows, _model(rows.sparkSession, langs, np.zeros(len(langs)), mu, cov)).where(F.col("distance") <= CORE)
     sums = [F.sum(F.col(s)).alias(f"s{i}") for i, s in enumerate(STATS)]
     products = [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"q{i}_{j}") for i, j in PAIRS]
-    by = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums, *products)
-    names = ["n", *[f"s{i}" for i in range(D)], *[f"q{i}_{j}" for i, j in PAIRS]]
-    whole = by.agg(*[F.sum(c).alias(c) for c in names]).select(F.lit("*").alias("lang"), *names)
-    return by.where(F.col("n") >= MIN_DOCUMENTS).unionByName(whole.where("n > 0"))
-
-
-def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Mean, inverse covariance and the screening bound of each language from its moments."""
-    for b in batches:
-        out = []
-        for r in b.itertuples():
-            n = r.n
-            mu = np.array([getattr(r, f"s{i}") for i in range(D)]) / n
-            cov = np.zeros((D, D))
+    found = {r["lang"]: r for r in near.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums, *products).collect()}  # one row a language
+    n, s, q = np.zeros(len(langs)), np.zeros((len(langs), D)), np.zeros((len(langs), D, D))
+    for k, x in enumerate(langs):
+        if x in found:
+            n[k], s[k] = found[x]["n"], [found[x][f"s{i}"] for i in range(D)]
             for i, j in PAIRS:
-                cov[i, j] = cov[j, i] = getattr(r, f"q{i}_{j}") / n - mu[i] * mu[j]
-            cov += np.diag(np.maximum(np.diag(cov), 0) * 1e-6 + 1e-6)  # stays invertible for constant statistics
-            out.append((r.lang, int(n), mu.tolist(), np.linalg.inv(cov).ravel().tolist(), screening_bound(mu, cov)))
-        yield pd.DataFrame(out, columns=["lang", "n", "mu", "precision", "bound"])
+                q[k, i, j] = q[k, j, i] = found[x][f"q{i}_{j}"]
+    if not n.sum():
+        return n, mu, cov
+    own = np.maximum(n, 1)
+    centre = _shrunk(s / own[:, None], n, s.sum(0) / n.sum())
+    second = _shrunk(q / own[:, None, None], n, q.sum(0) / n.sum())
+    spread = (second - centre[:, :, None] * centre[:, None, :]) * _consistency(D, CORE, 0.975)
+    diagonal = np.maximum(np.einsum("kii->ki", spread), 0) * 1e-6 + 1e-6  # stays invertible for constant statistics
+    return n, centre, spread + diagonal[:, :, None] * np.eye(D)
+
+
+def _model(spark: SparkSession, langs: list, n: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> DataFrame:
+    rows = [(x, int(k), m.tolist(), np.linalg.inv(c).ravel().tolist(), screening_bound(m, c)) for x, k, m, c in zip(langs, n, mu, cov, strict=True)]
+    return spark.createDataFrame(rows, MODEL)
 
 
 def screening_bound(mu: np.ndarray, cov: np.ndarray) -> float:
@@ -179,35 +227,32 @@ def distance(mu: Column, precision: Column) -> tuple[Column, list[Column]]:
 
 
 def prose_models(stats: DataFrame) -> DataFrame:
-    """Robust mean and covariance per language, from the core of its prose.
-
-    The start is every document with words that passes all checks (all documents, if a language has none); then
-    ``ROUNDS`` times the model is estimated anew from the documents within the 97.5 % distance of the last
-    one, so that lists, tables and junk lose their pull. Languages below ``MIN_DOCUMENTS`` use the model of all
-    (``lang`` = ``*``). Each round is one scan of the small statistics table and one map-side combined sum.
+    """Robust mean and covariance per language (``MODEL``), from the core of its prose; no threshold of any check enters.
+
+    The start is the medians and median absolute deviations of all documents with words; then the model is estimated anew
+    from the documents within the 97.5 % distance of the last one, until the core has the same size or ``ROUNDS`` are
+    over, so that lists, tables and junk lose their pull. A language's figures are drawn towards those of all documents
+    with the weight of ``PRIOR`` documents, whatever its size. A round is one scan of the small statistics table and one
+    map-side combined sum; the driver gets one row a language (codes of two or three letters, so at most some
+    thousands).
     """
     rows = stats.where(F.col("words") > 0)
-    ok = F.lit(True)
-    for _, s, sign, t in CHECKS:
-        ok = ok & ((F.col(s) >= t) if sign < 0 else (F.col(s) <= t))
-    model = _moments(rows.where(ok)).mapInPandas(_fit, MODEL)
-    for _ in range(ROUNDS):
-        near = scored(rows, model).where(F.col("distance") <= CORE)
-        model = _moments(near.select("lang", *STATS)).mapInPandas(_fit, MODEL)
-    return model
+    langs, mu, cov = _start(rows)
+    n = np.zeros(len(langs))
+    for _ in range(ROUNDS if langs else 0):
+        before = n
+        n, mu, cov = _core(rows, langs, mu, cov)
+        if np.array_equal(n, before):
+            break
+    return _model(stats.sparkSession, langs, n, mu, cov)
 
 
 def scored(stats: DataFrame, models: DataFrame) -> DataFrame:
-    """Statistics with the model's ``distance``, ``contributions`` and ``bound``; null where a text has no word or
-    no model exists at all (no document passed)."""
-    side, _ = bounded(models)
-    own = side.select(F.col("lang").alias("_l"), "mu", "precision", "bound")
-    whole = side.where("lang = '*'").select(F.col("mu").alias("_mu"), F.col("precision").alias("_pr"), F.col("bound").alias("_b"))
-    both = stats.join(own, F.col("lang") == F.col("_l"), "left").join(F.broadcast(whole), F.lit(True), "left")  # whole: one row
-    mu, pr = F.coalesce("mu", "_mu"), F.coalesce("precision", "_pr")
-    total, parts = distance(F.col("m"), F.col("p"))
-    picked = both.select(stats["*"], mu.alias("m"), pr.alias("p"), F.coalesce("bound", "_b").alias("bound"))
-    return picked.select(*stats.columns, total.alias("distance"), F.array(*parts).alias("contributions"), "bound")
+    """Statistics with the model's ``distance``, ``contributions`` and ``bound``; null where a text has no word."""
+    own = F.broadcast(models.select(F.col("lang").alias("_l"), "mu", "precision", F.col("bound").alias("_b")))  # one row a language
+    both = stats.join(own, F.col("lang") == F.col("_l"), "left")
+    total, parts = distance(F.col("mu"), F.col("precision"))
+    return both.select(*[stats[c] for c in stats.columns], total.alias("distance"), F.array(*parts).alias("contributions"), F.col("_b").alias("bound"))
 
 
 def text_quality(docs: DataFrame, common_words: DataFrame) -> DataFrame:

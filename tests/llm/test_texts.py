@@ -264,6 +264,14 @@ def test_models_resist_junk(spark):
     assert np.allclose(model["mu"], np.mean(prose, axis=0), rtol=0.05)
 
 
+def test_consistency_factor():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400_000, 5))
+    core = x[(x**2).sum(1) <= quality.CORE]
+    assert len(core) / len(x) == pytest.approx(0.975, abs=2e-3)
+    assert core.var(0).mean() * quality._consistency(5, quality.CORE, 0.975) == pytest.approx(1.0, abs=5e-3)
+
+
 def test_screening_bound_is_the_least_distance():
     rng = np.random.default_rng(4)
     a = rng.normal(size=(5, 5))

@@ -40,6 +40,11 @@ def batch_conflicts(log: DataFrame, ops: DataFrame, index: Index, base: int) ->
     Only the final state counts, so a key released by one operation may be claimed by another of the batch. Keys
     that were in conflict before are reported only if the batch touches one of their holders.
     """
-    after = state_as_of(apply_batch(log, ops, base))
-    touched = postings(after.join(ops.select("id").distinct(), "id", "left_semi"), index).select("key").distinct()
+    return conflicts_after(log, dense_sequence(ops, "op_index", base).select(*log.columns), index)
+
+
+def conflicts_after(log: DataFrame, rows: DataFrame, index: Index) -> DataFrame:
+    """``batch_conflicts`` of rows that have their sequence already (same columns as ``log``)."""
+    after = state_as_of(log.unionByName(rows))
+    touched = postings(after.join(rows.select("id").distinct(), "id", "left_semi"), index).select("key").distinct()
     return violations(after, index).join(touched, "key", "left_semi")

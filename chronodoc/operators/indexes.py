@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from chronodoc.functions.jsonpath import json_strings
 from chronodoc.model import InvalidRequest, Snapshot, UniqueViolation, UnknownIndex
-from chronodoc.operators.scans import DEFAULT_LIMIT, id_json
-from chronodoc.operators.versions import state_as_of
+from chronodoc.operators.scans import DEFAULT_LIMIT, fetch, id_json
+from chronodoc.operators.versions import at, state_as_of
+from chronodoc.session import BROADCAST_ROWS, bounded
 
 KINDS = ("unique", "multi", "fts", "vector")
 
@@ -54,18 +55,31 @@ def postings(state: DataFrame, index: Index) -> DataFrame:
     return state.withColumn("key", F.explode(key_array(state, index)))
 
 
+def candidates(log: DataFrame, holds: Column) -> DataFrame:
+    """The versions of all ids of which any version fulfils ``holds``; the condition reaches the scan of the ids.
+
+    Only these versions have to be compared. The ids are broadcast where they are few, so that nothing else is
+    shuffled; otherwise they are joined by a shuffle.
+    """
+    ids, _ = bounded(log.where(holds).select(F.col("id").alias("_id")).distinct())
+    return log.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+
+
 def by_index(log: DataFrame, index: Index | None, value: str, snapshot: Snapshot | int | None = None, *, strict: bool = True) -> DataFrame:
     """Documents that hold ``value`` under the index at the snapshot, in order of id.
 
-    The key must hold in the latest visible version, so versions are compared first. An unknown (None), fts or
-    vector index raises, or finds nothing where ``strict`` is off.
+    The key must hold in the latest visible version: documents that ever held it are picked first, then only their
+    versions are compared. An unknown (None), fts or vector index raises, or finds nothing where ``strict`` is off.
     """
     if index is None or index.kind not in ("unique", "multi"):
         if strict:
             raise UnknownIndex(index.name if index else "unknown index")
         return state_as_of(log, snapshot).limit(0)
-    state = state_as_of(log, snapshot)
-    return state.where(F.array_contains(key_array(state, index), value)).orderBy("id")
+    visible = at(log, snapshot)
+    column = index.keys(visible)
+    plain = visible.select(column.alias("k")).schema["k"].dataType.simpleString() == "string"
+    holds = column == value if plain else F.array_contains(key_array(visible, index), value)
+    return state_as_of(candidates(visible, holds)).where(holds).orderBy("id")
 
 
 def scan_index(
@@ -73,13 +87,22 @@ def scan_index(
 ) -> DataFrame:
     """(key, document) pairs with keys that start with ``prefix``, by key, then id text; the limit counts pairs.
 
-    A document appears once per matching key.
+    A document appears once per matching key. Plan: only (id, seq, deleted, keys) of documents that ever had such a key are
+    compared; the top pairs then fetch their documents.
     """
-    rows = postings(state_as_of(log, snapshot), index)
-    if prefix:
-        rows = rows.where(F.col("key").startswith(prefix))
+    visible = at(log, snapshot)
     n = default_limit if limit is None else max(0, limit)
-    return rows.withColumn("id_json", id_json(rows)).orderBy("key", "id_json").limit(n)
+    narrow = visible.select("id", "seq", "deleted", key_array(visible, index).alias("_keys"), *[c for c in ("id_json",) if c in visible.columns])
+    if prefix:
+        narrow = candidates(narrow, F.exists("_keys", lambda k: k.startswith(prefix)))
+    state = state_as_of(narrow)
+    pairs = state.withColumn("key", F.explode("_keys")).where(F.col("key").startswith(prefix))
+    pairs = pairs.withColumn("id_json", id_json(pairs)).orderBy("key", "id_json").limit(n)
+    side = pairs.select(F.col("id").alias("_id"), "key")
+    if n <= BROADCAST_ROWS:
+        side = F.broadcast(side)
+    found = state_as_of(fetch(visible, pairs, n)).join(side, F.col("id").eqNullSafe(F.col("_id"))).drop("_id")
+    return found.withColumn("id_json", id_json(found)).orderBy("key", "id_json").limit(n)
 
 
 def violations(state: DataFrame, index: Index) -> DataFrame:

@@ -26,10 +26,13 @@ def at(log: DataFrame, snapshot: Snapshot | int | None) -> DataFrame:
 def state_as_of(log: DataFrame, snapshot: Snapshot | int | None = None, *, keys: tuple[str, ...] = ("id",), tombstones: bool = False) -> DataFrame:
     """The last visible version of every id, deleted ids left out unless ``tombstones``.
 
-    Repeated rows of one version are one version. Plan: row_number = 1 becomes a group limit on both sides of
+    Repeated rows of one version are one version. Versions of one sequence are told apart as in
+    ``changes.fold_changes``: a live one before a tombstone, then the largest values (columns in order, null the
+    smallest; maps are not compared). Plan: row_number = 1 becomes a group limit on both sides of
     the shuffle, so each task sends at most one row per id, however many versions a hot id has.
     """
-    w = Window.partitionBy(*keys).orderBy(F.col("seq").desc())
+    rest = [f.name for f in log.schema.fields if f.name not in (*keys, "seq", "deleted") and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    w = Window.partitionBy(*keys).orderBy(F.col("seq").desc(), F.col("deleted").asc(), *[F.col(f"`{c}`").desc() for c in rest])
     last = at(log, snapshot).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     return last if tombstones else last.where("not deleted")
 

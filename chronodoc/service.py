@@ -19,7 +19,7 @@ COLLECTION_NAME = re.compile(r"^[A-Za-z0-9._-]{1,128}$")
 
 
 def problem(title: str, status: int, detail: str | None = None) -> dict:
-    return {"title": title, "status": status, "detail": detail}
+    return {"type": "about:blank", "title": title, "status": status, "detail": detail, "instance": None}
 
 
 class AdminService:
@@ -35,6 +35,7 @@ class AdminService:
         return {"status": "ok", "sequence": self.store.sequence}
 
     def status(self) -> dict:
+        """One scan of the store counts the live documents of all collections."""
         names = self.store.list_collections()
         live = versions.state_as_of(self.store.rows(), keys=("collection", "id")).groupBy("collection").count()
         counts = {r["collection"]: r["count"] for r in live.collect()}
@@ -57,7 +58,7 @@ class AdminService:
         return {"name": name}
 
     def drop_collection(self, name: str) -> dict:
-        return {"name": name, "deleted": self.store.drop_collection(name)}
+        return {"name": name, "deleted": self.store.clear_collection(name)}
 
     def define_index(self, collection: str, definition: dict) -> dict:
         self.store.define_index(collection, definition["name"], definition["kind"], definition.get("keyPath"))
@@ -116,32 +117,29 @@ class AdminService:
     # -- transactions ---------------------------------------------------------------------------------
 
     def commit_transaction(self, tx: dict) -> dict:
-        """All operations or none. ``{operations: [{type: put|delete|defineIndex, ...}], requireSequenceAtLeast?}``."""
-        ops, results = [], []
+        """All operations or none, index definitions included, in one commit.
+        ``{operations: [{op: put|delete|defineIndex, ...}], requireSequenceAtLeast?}``."""
+        ops, define, results = [], [], []
         for i, op in enumerate(tx["operations"]):
-            if op["type"] == "put":
+            result = {"opIndex": i, "status": "ok"}
+            if op["op"] == "put":
                 r = op["record"]
                 ops.append(Op(op["collection"], r["id"], _stored(r), r.get("version")))
-                results.append({"opIndex": i, "status": "ok", "record": r | {"sequence": self.store.sequence + len(ops), "deleted": False}})
-            elif op["type"] == "delete":
+                result["record"] = r | {"sequence": self.store.sequence + len(ops), "deleted": False}
+            elif op["op"] == "delete":
                 ops.append(Op(op["collection"], op["id"]))
-                results.append({"opIndex": i, "status": "ok"})
-            elif op["type"] == "defineIndex":
-                results.append({"opIndex": i, "status": "ok"})
+            elif op["op"] == "defineIndex":
+                d = op["index"]
+                define.append((op["collection"], {"name": d["name"], "kind": d["kind"], "path": d.get("keyPath")}))
             else:
-                raise InvalidRequest(f"unknown operation {op['type']!r}")
+                raise InvalidRequest(f"unknown operation {op['op']!r}")
+            results.append(result)
         try:
-            need = tx.get("requireSequenceAtLeast")
-            if need is not None and self.store.sequence < need:
-                raise SequenceTooLow(need, self.store.sequence)
-            for op in tx["operations"]:
-                if op["type"] == "defineIndex":
-                    self.define_index(op["collection"], op["index"])
-            self.store.batch(ops, need)
+            self.store.batch(ops, tx.get("requireSequenceAtLeast"), define=define)
         except UniqueViolation as e:
-            return self._failed(problem("unique constraint", 409, f"{e.index} key={e.key}"))
+            return self._failed(problem("unique constraint", 409, f"key {e.key} of index {e.index} is taken"))
         except SequenceTooLow as e:
-            return self._failed(problem("conflict", 409, f"sequence too low (required: {e.required}, current: {e.current})"))
+            return self._failed(problem("conflict", 409, f"the store is at {e.current}, {e.required} was asked for"))
         except StoreError as e:
             return self._failed(problem("commit", 500, str(e)))
         return {"committedSequence": self.store.sequence, "results": results}

@@ -1,13 +1,17 @@
 """The persistent store and the service over it."""
 
+import json
 import random
 
 import pytest
 
-from chronodoc.model import InvalidRequest, SequenceTooLow, StoreOptions, UniqueViolation, UnknownSnapshot
+from chronodoc.model import InvalidRequest, SequenceTooLow, StoreOptions, UniqueViolation, UnknownIndex, UnknownSnapshot
+from chronodoc.operators import fulltext
+from chronodoc.operators.versions import state_as_of
 from chronodoc.service import AdminService
 from chronodoc.sources.commitlog import CommitConflict
 from chronodoc.sources.store import Op, Store
+from pyspark.sql import functions as F
 
 
 @pytest.fixture
@@ -16,8 +20,6 @@ def store(spark, tmp_path):
 
 
 def ids(df):
-    import json
-
     return [json.loads(r["id"]) for r in df.collect()]
 
 
@@ -84,17 +86,90 @@ def test_backup_compaction_vacuum(store):
     assert [b["note"] for b in store.list_backups()] == ["before"]
     store.compact(retain_from=store.sequence)
     assert store.compaction_status()["levels"][0]["level"] == 0
-    assert store.drop_collection("c") == 2 and ids(c.scan()) == []
+    assert store.clear_collection("c") == 2 and ids(c.scan()) == []
 
 
 def test_search_and_typed_documents(store):
     c = store.collection("t")
+    store.define_index("t", "words", "fts", ".text")
+    store.define_index("t", "near", "vector", ".e")
+    store.define_index("t", "stopped", "fts", ".text", analyzer={"stopwords": ["hello"]})
+    store.define_index("t", "odd", "fts", ".text", analyzer=lambda text: F.split(F.lower(text), "l+"))
     c.batch([(1, {"text": "hello world", "e": [0.0, 0.0]}), (2, {"text": "hello hello world", "e": [1.0, 1.0]})])
-    assert ids(c.search_text("text", "hello", 1)) == [2]
-    assert ids(c.vector_search("e", [0.1, 0.0], 1)) == [1]
+    assert ids(c.search_text("words", "hello", 1)) == [2] and ids(c.search_text("stopped", "hello")) == []
+    assert ids(c.search_text("odd", "HEL")) == [] and ids(c.search_text("odd", "hello world")) == [1, 2]
+    assert ids(c.vector_search("near", [0.1, 0.0], 1)) == [1]
+    for wrong in (lambda: c.search_text("near", "x"), lambda: c.vector_search("words", [1.0], 1), lambda: c.search_text("none", "x")):
+        with pytest.raises(UnknownIndex):
+            wrong()
+    with pytest.raises(UnknownIndex):
+        Store(store.spark, store.path).collection("t").search_text("odd", "x")
     assert sorted(r["text"] for r in c.documents("text string").collect()) == ["hello hello world", "hello world"]
 
 
+def test_stored_text_index_follows_changes(spark, store):
+    c = store.collection("t")
+    store.define_index("t", "words", "fts", "text")
+    c.batch([(i, {"text": f"apple pear{i}"}) for i in range(5)])
+    assert len(ids(c.search_text("words", "apple"))) == 5
+    snap, ref = store.snapshot(), store.create_backup()
+    c.batch([(0, None), (1, {"text": "plum"}), (9, {"text": "apple apple"}), (8, {"text": 7})])
+    again = Store(spark, store.path).collection("t")
+    got = again.search_text("words", "apple").collect()
+    assert [json.loads(r["id"]) for r in got] == [9, 2, 3, 4]
+    direct = fulltext.search(again._text(state_as_of(again.log()), store.definition("t", "words", "fts")), "_text", "apple").collect()
+    assert [(r["id"], r["score"]) for r in got] == [(r["id"], r["score"]) for r in direct]
+    assert ids(again.search_text("words", "apple", snapshot=snap)) == [0, 1, 2, 3, 4]
+    store.restore_backup(ref["id"])
+    c.put(0, {"text": "fig"})
+    assert ids(c.search_text("words", "apple")) == [1, 2, 3, 4]
+
+
+def test_load_is_validated(spark, store):
+    store.define_index("u", "byE", "unique", ".e")
+    docs = lambda *rows: spark.createDataFrame([(i, "u", json.dumps(k), v is None, None if v is None else json.dumps({"e": v}), None) for i, (k, v) in enumerate(rows)], "n int, collection string, id string, deleted boolean, value string, version string")
+    assert store.load(docs((1, "a"), (2, "b"), (1, None), (3, "a")), "n") == 4
+    for bad in (docs((4, "x"), (5, "x")), docs((6, "b"))):
+        with pytest.raises(UniqueViolation):
+            store.load(bad, "n")
+    assert store.sequence == 4 and store.load(docs().limit(0), "n") == 4
+    assert ids(store.collection("u").scan()) == [2, 3]
+
+
+def test_transactions_are_all_or_none(store):
+    a = AdminService(store)
+    put = lambda i, e: {"op": "put", "collection": "u", "record": {"id": i, "data": {"e": e}}}
+    index = {"op": "defineIndex", "collection": "u", "index": {"name": "byE", "kind": "unique", "keyPath": ".e"}}
+    bad = a.commit_transaction({"operations": [put("1", "x"), index, put("2", "x")]})
+    assert bad["results"][0]["error"]["status"] == 409 and store.index_definitions("u") == [] and store.sequence == 0
+    assert a.commit_transaction({"operations": [put("1", "x"), index, put("2", "y")]})["committedSequence"] == 2
+    assert [d["name"] for d in store.index_definitions("u")] == ["byE"]
+    assert a.commit_transaction({"operations": [put("3", "y")]})["results"][0]["status"] == "error" and store.sequence == 2
+    with pytest.raises(InvalidRequest):
+        a.commit_transaction({"operations": [{"op": "rename"}]})
+
+
+def test_drop_keeps_or_clears(store):
+    c = store.collection("d")
+    store.define_index("d", "byE", "multi", ".e")
+    c.batch([(1, {"e": "x"}), (2, {"e": "x"})])
+    store.drop_collection("d")
+    assert store.list_collections() == [] and store.index_definitions("d") == [] and ids(c.scan()) == [1, 2]
+    c.put(3, {"e": "y"})
+    assert store.list_collections() == ["d"] and ids(c.scan()) == [1, 2, 3]
+    assert store.clear_collection("d") == 3 and ids(c.scan()) == [] and store.list_collections() == []
+
+
+def test_compaction_leaves_large_files(store):
+    c = store.collection("c")
+    for i in range(3):
+        c.put(i, {"v": i})
+    large = store.manifest["files"][0]["name"]
+    store.manifest["files"][0]["bytes"] = 1 << 30
+    store.compact()
+    assert len(store.manifest["files"]) == 2 and store.manifest["files"][0]["name"] == large and ids(c.scan()) == [0, 1, 2]
+
+
 def test_metrics_and_events(spark, tmp_path):
     seen = []
     s = Store(spark, StoreOptions(f"file://{tmp_path}/m", default_scan_limit=5, logger=lambda e: seen.append(e.to_dict())))
@@ -131,7 +206,7 @@ def test_service(store):
     with pytest.raises(InvalidRequest):
         a.create_collection("no spaces")
     a.define_index("things", {"name": "byTag", "kind": "multi", "keyPath": ".tags[]"})
-    tx = {"operations": [{"type": "put", "collection": "things", "record": {"id": f"item_{i}", "data": {"tags": ["x"]}}} for i in (1, 2, 10)]}
+    tx = {"operations": [{"op": "put", "collection": "things", "record": {"id": f"item_{i}", "data": {"tags": ["x"]}}} for i in (1, 2, 10)]}
     assert a.commit_transaction(tx)["committedSequence"] == 3
     snap = a.create_snapshot()["id"]
     a.put_record("things", {"id": "item_1", "data": {"tags": ["y"]}, "version": "v2"})

@@ -22,16 +22,22 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None):
-    """Register a query under its name, with the SQL it is checked against."""
+def query_into(queries: dict, oracles: dict[str, str]):
+    """The decorator that registers a query under its name, with the SQL it is checked against."""
 
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
+    def query(sql: str | None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                oracles[f.__name__] = sql
+            return f
 
-    return add
+        return add
+
+    return query
+
+
+query = query_into(QUERIES, ORACLES)
 
 
 def events_log(spark: SparkSession, d: str) -> DataFrame:
@@ -205,7 +211,9 @@ def jsonpath_index(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
-@query(None)
+@query(
+    """SELECT coalesce(sum(CASE json_type(props, '$.k') WHEN 'VARCHAR' THEN 1 ELSE 0 END), 0)::BIGINT AS n_strings, count(*) AS n FROM events"""
+)
 def jsonpath_over_props(spark, d):
     """String leaves of the events' props: numbers are no keys, so this counts what is left."""
     e = table(spark, d, "events")
@@ -216,16 +224,16 @@ WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{N}]+'
 STOP = ["the", "and", "a", "of", "to", "in", "is"]
 
 
-@query(f"SELECT doc_id AS id, CAST(coalesce(len({WORDS}), 0) AS BIGINT) AS doc_len FROM documents")
+@query(f"SELECT doc_id AS id, CAST(coalesce(len({WORDS}), 0) AS BIGINT) AS doc_len, coalesce(array_to_string({WORDS}, ' '), '') AS terms FROM documents")
 def tokenize_default(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return fulltext.tokenized(docs, "text").select("id", "doc_len")
+    return fulltext.tokenized(docs, "text").select("id", "doc_len", F.array_join("tokens", " ").alias("terms"))
 
 
-@query(f"SELECT doc_id AS id, CAST(coalesce(len(list_filter({WORDS}, lambda w: NOT list_contains({STOP}, w))), 0) AS BIGINT) AS doc_len FROM documents")
+@query(f"SELECT doc_id AS id, CAST(coalesce(len(list_filter({WORDS}, lambda w: NOT list_contains({STOP}, w))), 0) AS BIGINT) AS doc_len, coalesce(array_to_string(list_filter({WORDS}, lambda w: NOT list_contains({STOP}, w)), ' '), '') AS terms FROM documents")
 def tokenize_stopwords(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return fulltext.tokenized(docs, "text", stopword_analyzer(STOP)).select("id", "doc_len")
+    return fulltext.tokenized(docs, "text", stopword_analyzer(STOP)).select("id", "doc_len", F.array_join("tokens", " ").alias("terms"))
 
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents) GROUP BY term")
@@ -384,18 +392,6 @@ def batch_unique_conflicts(spark, d):
     return batch.batch_conflicts(log, ops, Index.on("byName", "name", "unique"), 1)
 
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"]
-
-
-@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))
-def collections_list(spark, d):
-    out = None
-    for t in TABLES:
-        one = table(spark, d, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @query(
     """SELECT CAST(floor(log2(greatest(1, coalesce(size_bytes, 0) // 262144))) AS INTEGER) AS level, count(*) AS tables,
 CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS size_bytes FROM table_files GROUP BY 1"""
@@ -404,14 +400,14 @@ def compaction_levels(spark, d):
     return table_levels(table(spark, d, "table_files").select("size_bytes"))
 
 
-@query(None)
+@query(f"WITH {LOG} SELECT kind, count(*) AS n, round(avg(amount), 6) AS mean FROM state GROUP BY kind")
 def sql_over_collections(spark, d):
     """Beyond the document API: states as views, joined and grouped by Spark SQL."""
     versions.state_as_of(events_log(spark, d)).createOrReplaceTempView("live_events")
     return spark.sql("SELECT kind, count(*) AS n, round(avg(amount), 6) AS mean FROM live_events GROUP BY kind")
 
 
-@query(None)
+@query("""SELECT '' AS secret, '["a", 1]' AS cursor UNION ALL SELECT 'k', '["a", 1]'""")
 def page_token_round_trip(spark, d):
     """Tokens sealed and opened again, with and without a secret."""
     rows = [(s or "", paging.unseal(paging.seal(json.dumps(["a", 1]), s), s)) for s in (None, "k")]

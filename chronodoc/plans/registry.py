@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronodoc.plans import documents, feeds
+from chronodoc.plans import documents, feeds, stores
 
-MODULES = [documents, feeds]
+MODULES = [documents, feeds, stores]
 
 
 def queries() -> dict:

@@ -22,8 +22,28 @@ def eta(dim: int, at: float = TUNED_AT) -> float:
     return (dim - 1) * at * at / (1 - at * at)
 
 
+#: Most cells; twice the root of the number of vectors stays below it up to 268 million of them.
+MAX_CELLS = 32_768
+#: Cells above which k-means works in two levels.
+ONE_LEVEL = 2_048
+
+
 def coarse_cells(n: int) -> int:
-    return max(1, min(4096, n, int(2 * np.sqrt(n))))
+    return max(1, min(MAX_CELLS, n, int(2 * np.sqrt(n))))
+
+
+def cell_centres(x: np.ndarray, k: int) -> np.ndarray:
+    """k unit centres: by k-means, above ``ONE_LEVEL`` by k-means within the cells of a first k-means, in proportion to
+    their rows, so that the work grows with the root of k."""
+    if k <= ONE_LEVEL:
+        return spherical_kmeans(x, k)
+    first = spherical_kmeans(x, int(np.sqrt(k)))
+    home = np.concatenate([(x[a : a + 8192] @ first.T).argmax(1) for a in range(0, len(x), 8192)])
+    rows = np.bincount(home, minlength=len(first))
+    ends = np.rint(np.cumsum(rows) * (k / len(x))).astype(np.int64)
+    share = np.diff(ends, prepend=0)
+    parts = [spherical_kmeans(x[home == c], int(share[c])) for c in range(len(first)) if share[c]]
+    return np.concatenate(parts)
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -113,7 +133,7 @@ def train(sample: np.ndarray, cells: int, rounds: int = 5, seed: int = 11, code_
     weighted least-squares problem per code; they see at most ``code_rows`` evenly spaced rows of the sample."""
     x = sample.astype(np.float32)
     dim = x.shape[1]
-    centres = spherical_kmeans(x, cells) if cells > 1 else np.zeros((1, dim), np.float32)
+    centres = cell_centres(x, cells) if cells > 1 else np.zeros((1, dim), np.float32)
     cell = np.concatenate([(x[a : a + 8192] @ centres.T).argmax(1) for a in range(0, len(x), 8192)]) if cells > 1 else np.zeros(len(x), np.int64)
     pick = slice(None, None, -(-len(x) // code_rows))
     x, cell = x[pick], cell[pick]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from chronodoc.llm import anisotropic
 from chronodoc.session import bounded, scratch
 
-#: Vectors the index is fitted on (the index itself holds every vector).
+#: Vectors the index is fitted on (the index itself holds every vector): at least this many, 8 a cell where there are more cells.
 SAMPLE = 32_768
 #: Members of a cell are kept apart by their angle from its centre, in rings of this width (radians); the last is open.
 RING, RINGS = 0.2, 8
@@ -47,13 +46,22 @@ def valid_vectors(docs: DataFrame, dim: int = 64) -> DataFrame:
             x = x[good] / big[good, None]  # scaled first, so that squares cannot overflow
             x /= np.linalg.norm(x, axis=1)[:, None]
             named = np.round(x, 12) + 0.0
-            cls = [hashlib.blake2b(r.tobytes(), digest_size=16).hexdigest() for r in named]
+            cls = _names(named)
             lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * dim, pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), lists, pa.array(cls, pa.string())], names=["id", "vec", "cls"])
 
     return cur.mapInArrow(unit, "id string, vec array<double>, cls string")
 
 
+def _names(x: np.ndarray) -> list[str]:
+    """A 128-bit name of every row: two sums of mixed elements, each times an odd number of its place."""
+    bits = np.ascontiguousarray(x).view(np.uint64)
+    mixed = (bits ^ (bits >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    odd = np.random.default_rng(20240607).integers(0, 2**63, (2, x.shape[1]), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return [a + b for a, b in zip(*(np.char.mod("%016x", (mixed * o).sum(1, dtype=np.uint64)).tolist() for o in odd), strict=True)]
+
+
 def _index(model: anisotropic.Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,9 +136,10 @@ def _ask(model: anisotropic.Model, unit: np.ndarray, low: np.ndarray, high: np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = _directions(model).astype(np.float32)
+        many = max(16, min(1024, (1 << 25) // len(cell)))  # bounds the table of angles
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, many):
+                part = b.slice(at, many)
                 t = (_matrix(part.column(1), model.dim).astype(np.float32) @ centres.T)[:, cell]
                 asked = np.logical_or.reduceat((t >= least) & (t <= most), starts, axis=1)
                 lists = [np.concatenate([ids[i] for i in np.flatnonzero(row)] or [np.empty(0, np.int64)]) for row in asked]
@@ -231,7 +240,7 @@ def _search(model: anisotropic.Model, wanted: float, keep: int):
 def similar_directions(directions: DataFrame, dim: int, wanted: float, keep: int = 4) -> DataFrame:
     """(a, b, sim): for every ``rep`` a at least its first ``keep`` others b with a cosine of at least ``wanted``, none missed.
 
-    ``directions``: rep (unique string), vec (unit vector). The index is fitted on about ``SAMPLE`` vectors chosen by
+    ``directions``: rep (unique string), vec (unit vector). The index is fitted on about ``SAMPLE`` vectors (8 a cell from 4,096 cells on) chosen by
     hash and holds all of them. Every vector lies in its best cell, in a ring by its angle from the centre; near cells
     of a ring make a block. A vector asks every block that the angles do not exclude, and in it every ring that the
     angles and the best found so far do not exclude; there is no fixed number of probes. A group of vectors that are
@@ -244,13 +253,14 @@ def similar_directions(directions: DataFrame, dim: int, wanted: float, keep: int
     n = kept.count()
     if not n:
         return spark.createDataFrame([], "a string, b string, sim double")
-    one_in = -(-n // SAMPLE)
+    cells = anisotropic.coarse_cells(n)
+    one_in = -(-n // max(SAMPLE, 8 * cells))
     sample = kept.where(F.pmod(F.xxhash64("rep", F.lit(42)), F.lit(one_in)) == 0).select("vec").toArrow()
     if not sample.num_rows:
         sample = kept.limit(SAMPLE).select("vec").toArrow()
     x = _matrix(sample.column(0).combine_chunks(), dim)
     x = x[np.lexsort(x.T[:3])]  # the same order in every run
-    model = anisotropic.train(x, anisotropic.coarse_cells(n))
+    model = anisotropic.train(x, min(cells, len(x)))
     sent = spark.sparkContext.broadcast(model)
 
     def index(batches):
@@ -262,7 +272,7 @@ def similar_directions(directions: DataFrame, dim: int, wanted: float, keep: int
     placed = scratch(spark, "cells")
     kept.mapInArrow(index, "rep string, vec array<double>, unit int, angle double, code binary, error double").write.parquet(placed)
     rows = spark.read.parquet(placed)
-    found = rows.groupBy("unit").agg(F.count(F.lit(1)), F.min("angle"), F.max("angle")).orderBy("unit").collect()  # at most 4096 * RINGS rows
+    found = rows.groupBy("unit").agg(F.count(F.lit(1)), F.min("angle"), F.max("angle")).orderBy("unit").collect()  # at most MAX_CELLS * RINGS rows
     unit, count, low, high = (np.array(c) for c in zip(*found, strict=True))
     first, pieces = _blocks(model.centres, unit, count, int(np.clip(n // 16, 512, BLOCK)))
 

@@ -111,3 +111,31 @@ def test_small_inputs_have_cells_too(spark, rows):
     for part in (cur, dict(list(cur.items())[:2]), dict(list(cur.items())[:7])):
         got = rows(similar.nearest_pairs(spark.createDataFrame([(i, v, 1, 0, 0) for i, v in part.items()], DOCS)))
         assert got == brute(part)
+
+
+def test_two_level_cells(spark, rows, monkeypatch):
+    x = clustered(3000, seed=12, spread=0.3)
+    unit = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    monkeypatch.setattr(anisotropic, "ONE_LEVEL", 16)
+    two = anisotropic.cell_centres(unit, 100)
+    assert two.shape == (100, 64) and np.allclose(np.linalg.norm(two, axis=1), 1, atol=1e-4)
+    served = lambda c: (unit @ c.T).max(1).mean()
+    assert served(two) > served(anisotropic.spherical_kmeans(unit, 100)) - 0.05
+    cur = {f"v{i}": list(map(float, v)) for i, v in enumerate(x[:900])}
+    assert rows(similar.nearest_pairs(spark.createDataFrame([(i, v, 1, 0, 0) for i, v in cur.items()], DOCS))) == brute(cur)
+
+
+def test_more_neighbours_than_three(spark, rows):
+    x = clustered(400, seed=3, spread=0.25, of=40)
+    cur = {f"v{i}": list(map(float, v)) for i, v in enumerate(x)}
+    df = spark.createDataFrame([(i, v, 1, 0, 0) for i, v in cur.items()], DOCS)
+    for k in (10, 20):
+        assert rows(similar.nearest_pairs(df, k=k)) == brute(cur, k)
+
+
+def test_names_tell_rows_apart():
+    x = np.round(np.random.default_rng(1).normal(size=(5000, 64)), 12)
+    y = x.copy()
+    y[:, 7] += 1e-12
+    names = similar._names(np.concatenate([x, x, y]))
+    assert names[:5000] == names[5000:10000] and len(set(names)) == 10000 and {len(n) for n in names} == {32}

@@ -12,7 +12,7 @@ from chronodoc.functions.jsonpath import json_strings
 from chronodoc.model import InvalidRequest, Snapshot, UniqueViolation, UnknownIndex
 from chronodoc.operators.scans import DEFAULT_LIMIT, fetch, id_json
 from chronodoc.operators.versions import at, state_as_of
-from chronodoc.session import BROADCAST_ROWS, bounded
+from chronodoc.session import BROADCAST_ROWS, bounded, checkpointed
 
 KINDS = ("unique", "multi", "fts", "vector")
 
@@ -97,7 +97,7 @@ def scan_index(
         narrow = candidates(narrow, F.exists("_keys", lambda k: k.startswith(prefix)))
     state = state_as_of(narrow)
     pairs = state.withColumn("key", F.explode("_keys")).where(F.col("key").startswith(prefix))
-    pairs = pairs.withColumn("id_json", id_json(pairs)).orderBy("key", "id_json").limit(n)
+    pairs = checkpointed(pairs.withColumn("id_json", id_json(pairs)).orderBy("key", "id_json").limit(n).select("id", "seq", "key"))
     side = pairs.select(F.col("id").alias("_id"), "key")
     if n <= BROADCAST_ROWS:
         side = F.broadcast(side)

@@ -85,19 +85,29 @@ def hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
+    """A fresh path in the shared folder, removed by ``release_scratch`` or when the driver ends."""
     path = f"{shared_dir(spark)}/chronodoc/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append((spark, path))
+    return path
 
-    def remove() -> None:
+
+@atexit.register
+def release_scratch() -> int:
+    """Delete all scratch folders made so far; for long sessions, once the results of earlier queries are no longer
+    needed. Returns how many went."""
+    gone = 0
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
         try:
             fs, p = hadoop(spark, path)
-            fs.delete(p, True)
+            gone += bool(fs.delete(p, True))
         except Exception:  # the JVM may be gone already
             pass
-
-    atexit.register(remove)
-    return path
+    return gone
 
 
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:

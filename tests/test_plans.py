@@ -51,3 +51,22 @@ def test_stored_index_filters_terms_in_the_scan(spark, tmp_path):
     assert "In(term, [a,b])" in plan(held)
     assert held.collect() == fulltext.search(docs, "text", ["a", "b"]).collect()
     assert fulltext.search_index(postings, lengths, []).count() == 0
+
+
+def test_lookups_compare_candidates_only(spark, tmp_path):
+    df = log(spark, tmp_path)
+    p = plan(indexes.by_index(df, Index.on("t", "tag"), "123", 500))
+    assert "BroadcastHashJoin" in p and "LeftSemi" in p and "LessThanOrEqual(seq,500)" in p
+    narrow = [x for x in plan(scans.scan(df, limit=5)).splitlines() if "ReadSchema" in x]
+    assert len(narrow) == 2 and sum("wide" not in x for x in narrow) == 1  # only the fetch reads payloads
+    p = plan(indexes.scan_index(df, Index.on("t", "tag"), "", 5))
+    assert p.count("ReadSchema") == 1 and p.count("BroadcastHashJoin") >= 2  # the pairs are found by a job of their own
+
+
+def test_scratch_is_released(spark):
+    from chronodoc import session
+
+    path = session.scratch(spark, "plans")
+    spark.range(3).write.parquet(path)
+    fs, p = session.hadoop(spark, path)
+    assert fs.exists(p) and session.release_scratch() >= 1 and not fs.exists(p)

@@ -19,8 +19,11 @@ SAMPLE = 32_768
 RING, RINGS = 0.2, 8
 #: Allowance for rounding in bounds by angles and single-precision cosines; lets more pairs through, never fewer.
 SLACK = 1e-4
-#: Most base vectors of a block and most queries of a task.
-BLOCK, QUERIES = 32_768, 32_768
+#: Most base vectors of a block and most queries of a task. A query is sent to every block it asks, so large blocks save
+#: shuffling; a task holds one block (about 100 MB at most).
+BLOCK, QUERIES = 131_072, 32_768
+#: Least blocks of all vectors and least parts of a block's queries, so that small inputs keep all cores busy.
+LEAST_BLOCKS, LEAST_PARTS = 6, 3
 #: Base vectors and pairs compared at a time; bound a worker's memory, not the result.
 RUN, EXACT_AT_ONCE = 2_048, 1 << 19
 
@@ -274,7 +277,7 @@ def similar_directions(directions: DataFrame, dim: int, wanted: float, keep: int
     rows = spark.read.parquet(placed)
     found = rows.groupBy("unit").agg(F.count(F.lit(1)), F.min("angle"), F.max("angle")).orderBy("unit").collect()  # at most MAX_CELLS * RINGS rows
     unit, count, low, high = (np.array(c) for c in zip(*found, strict=True))
-    first, pieces = _blocks(model.centres, unit, count, int(np.clip(n // 16, 512, BLOCK)))
+    first, pieces = _blocks(model.centres, unit, count, int(np.clip(n // LEAST_BLOCKS, 512, BLOCK)))
 
     def ask(batches):
         return _ask(sent.value, unit, low, high, first, pieces, wanted)(batches)
@@ -284,8 +287,9 @@ def similar_directions(directions: DataFrame, dim: int, wanted: float, keep: int
     asked = spark.read.parquet(asked_at).select("rep", "vec", F.explode("asks").alias("block"))
     per_block = asked.groupBy("block").count().orderBy("block").collect()  # one row a block
     tasks, parts = [], 0
+    most = int(np.clip(n // LEAST_PARTS, 512, QUERIES))
     for r in per_block:
-        cut = -(-r["count"] // QUERIES)
+        cut = -(-r["count"] // most)
         tasks.append((r["block"], parts, cut))
         parts += cut
     plan = F.broadcast(spark.createDataFrame(tasks, "block int, _t int, _n int"))

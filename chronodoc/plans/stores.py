@@ -6,9 +6,12 @@ reader finds afterwards.
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronodoc import api
 from chronodoc.model import InvalidRequest, SequenceTooLow, StoreOptions, UniqueViolation, UnknownIndex, UnknownSnapshot
 from chronodoc.operators import indexes, versions
 from chronodoc.operators.changes import committed_changes
@@ -333,6 +336,28 @@ def service_status(spark, d):
     return spark.createDataFrame(out, "name string, n long")
 
 
+@query(
+    """SELECT 'PUT' AS step, r_name AS id, 201 AS status, row_number() OVER (ORDER BY r_regionkey) AS sequence FROM region
+UNION ALL SELECT 'GET', r_name, 200, row_number() OVER (ORDER BY r_regionkey) FROM region
+UNION ALL SELECT 'tool', r_name, 0, row_number() OVER (ORDER BY r_regionkey) FROM region
+UNION ALL SELECT 'DELETE', r_name, 204, NULL FROM region UNION ALL SELECT 'again', r_name, 404, NULL FROM region"""
+)
+def service_routes(spark, d):
+    """Every region put, read, read by a tool, deleted and asked for again, by the routes."""
+    service, out = AdminService(Store(spark, scratch(spark, "store"))), []
+    names = [r["r_name"] for r in rows_of(spark, d, "region", "r_regionkey", "r_name")]
+    url = lambda name: "/collections/region/records/" + quote(name)
+    for step, method in (("PUT", "PUT"), ("GET", "GET"), ("tool", None), ("DELETE", "DELETE"), ("again", "GET")):
+        for name in names:
+            if method is None:
+                call = {"id": 1, "method": "tools/call", "params": {"name": "chronodoc.record.getMeta", "arguments": {"collection": "region", "id": name}}}
+                status, got = 0, api.rpc(service, call)["result"]
+            else:
+                status, got = api.handle(service, method, url(name), b'{"data": {}}' if method == "PUT" else b"")
+            out.append((step, name, status, (got or {}).get("sequence")))
+    return spark.createDataFrame(out, "step string, id string, status int, sequence long")
+
+
 def _corpus(spark: SparkSession, d: str) -> Store:
     """All documents of known language in a store; documents with null language were loaded first and then deleted."""
     store = Store(spark, scratch(spark, "store"))

@@ -111,8 +111,9 @@ class CompactedTables:
         news = bounded(live.join(done, key == F.col("_p"), "left_anti"))[0]
         plan = checkpointed(self.plan(live_entries(entries, news), news).withColumn("pkey", key))
         todo = plan.where("n_out > 0")
-        stores, size, cut = todo.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n_out"), F.lit(0))).first()
-        n = max(cut, min(stores, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), 1)
+        stores, size = todo.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+        # ranges of the target size over all stores together; small stores share a task, each with files of its own
+        n = max(-(-size // self.target_bytes), min(stores, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), 1)
         wanted = lists.join(todo.select("pkey"), "pkey", "left_semi").unionByName(lists.where("done"))
 
         def compute(changed: DataFrame, small: bool) -> DataFrame:

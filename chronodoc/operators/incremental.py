@@ -6,6 +6,7 @@ import time
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,6 +71,7 @@ class IncrementalTable:
     """
 
     MAX_RUNS = 200
+    LITERALS = 2_000
     PRINTS = "pkey string, n_rows long, low long, high long, run string"
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
@@ -99,7 +101,12 @@ class IncrementalTable:
             want = self.prints(content).select("pkey", "run")
             if only is not None:
                 want = want.join(only.select("pkey"), "pkey", "left_semi")
-            rows = rows.join(bounded(want)[0], ["pkey", "run"], "left_semi")
+            want, few = bounded(want)
+            if few and content["partitions"] <= self.LITERALS:  # as literals they prune the partitions that are listed
+                held = want.groupBy("run").agg(F.collect_set("pkey").alias("keys")).collect()  # at most LITERALS keys
+                rows = rows.where(reduce(Column.__or__, [(F.col("run") == r["run"]) & F.col("pkey").isin(r["keys"]) for r in held], F.lit(False)))
+            else:
+                rows = rows.join(want, ["pkey", "run"], "left_semi")
         return rows.select(*self.schema.fieldNames(), "pkey")
 
     def run(self, prints: DataFrame, compute: Callable[[DataFrame, bool], DataFrame], *, base: Base | None = None, rebalance: bool = True) -> RunReport:

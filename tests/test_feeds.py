@@ -186,8 +186,10 @@ def test_two_writers_lose_nothing(spark, rows, tmp_path, monkeypatch):
     assert report.changed == 0 and rows(table.read(), "store", "sequence") == brute_pending(fs, ss)
 
 
-def test_old_run_folders_are_taken_over(spark, rows, tmp_path, monkeypatch):
+@pytest.mark.parametrize("literals", [IncrementalTable.LITERALS, 0])
+def test_old_run_folders_are_taken_over(spark, rows, tmp_path, monkeypatch, literals):
     monkeypatch.setattr(IncrementalTable, "MAX_RUNS", 2)
+    monkeypatch.setattr(IncrementalTable, "LITERALS", literals)
     path, fs = f"file://{tmp_path}/p", []
     none = spark.createDataFrame([], SAVE)
     for i, store in enumerate("abcd"):

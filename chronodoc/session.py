@@ -85,13 +85,13 @@ def hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
+_SCRATCH: list = []  # (FileSystem, Path), which outlive the session they were made in
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed by ``release_scratch`` or when the driver ends."""
     path = f"{shared_dir(spark)}/chronodoc/{name}-{uuid.uuid4().hex[:12]}"
-    _SCRATCH.append((spark, path))
+    _SCRATCH.append(hadoop(spark, path))
     return path
 
 
@@ -101,9 +101,8 @@ def release_scratch() -> int:
     needed. Returns how many went."""
     gone = 0
     while _SCRATCH:
-        spark, path = _SCRATCH.pop()
+        fs, p = _SCRATCH.pop()
         try:
-            fs, p = hadoop(spark, path)
             gone += bool(fs.delete(p, True))
         except Exception:  # the JVM may be gone already
             pass

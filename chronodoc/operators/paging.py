@@ -6,6 +6,7 @@ import base64
 import hashlib
 import hmac
 import json
+from bisect import bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from chronodoc.model import InvalidRequest
 
 MAX_PAGE = 1000
+#: Most rows, and bytes of their JSON text, that a walk holds beyond its present page; a read takes so many times the one before.
+AHEAD_ROWS, AHEAD_BYTES, AHEAD_GROWTH = 50_000, 8 << 20, 16
 
 
 def page_size(n: int | None, default: int = 100) -> int:
@@ -42,6 +45,63 @@ def fetch_page(rows: DataFrame, size: int | None = None, after: str | None = Non
     return Page(got[:n], got[n - 1][key] if more else None)
 
 
+class Walk:
+    """Pages of rows that do not change. Each page is the one ``fetch_page`` gives; pages that follow each other share reads.
+
+    A first page, or one out of order, reads itself only. Each read that goes on where the one before ended takes
+    more, up to ``AHEAD_ROWS`` and ``AHEAD_BYTES`` (but always a page); the bytes are found from keys and sizes before
+    any payload is read.
+    """
+
+    def __init__(self, rows: DataFrame, key: str = "id"):
+        self.rows, self.key = rows, key
+        self._held: tuple[str | None, list[str], list[Row], bool] | None = None  # read after, keys, rows, whether they reach the end
+
+    def page(self, size: int | None = None, after: str | None = None) -> Page:
+        n = page_size(size)
+        page = self._from_held(n, after)
+        if page is None:
+            self._held = self._read(n, after)
+            page = self._from_held(n, after)
+        return page
+
+    def _covers(self, after: str | None) -> bool:
+        """Whether ``after`` lies in what is held, or at its end."""
+        if self._held is None:
+            return False
+        start, keys, _, end = self._held
+        if after is None:
+            return start is None
+        return (start is None or after >= start) and (end or bool(keys) and after <= keys[-1])
+
+    def _from_held(self, n: int, after: str | None) -> Page | None:
+        if not self._covers(after):
+            return None
+        _, keys, rows, end = self._held
+        i = 0 if after is None else bisect_right(keys, after)
+        if len(rows) <= i + n and not end:
+            return None
+        got = rows[i : i + n]
+        return Page(got, got[-1][self.key] if len(rows) > i + n else None)
+
+    def _read(self, n: int, after: str | None) -> tuple[str | None, list[str], list[Row], bool]:
+        ahead = n
+        if after is not None and self._covers(after):
+            ahead = max(n, min(AHEAD_ROWS, AHEAD_GROWTH * len(self._held[2])))
+        rows = self.rows
+        if ahead > n:
+            size = F.octet_length(F.to_json(F.struct("*"))).alias("_bytes")
+            left, fits = AHEAD_BYTES, 0
+            for r in page_rows(rows.select(self.key, size), ahead, after, key=self.key).collect():
+                left -= r["_bytes"]
+                if left < 0:
+                    break
+                fits += 1
+            ahead = max(n, min(ahead, fits))
+        got = page_rows(rows, ahead, after, key=self.key).collect()
+        return after, [r[self.key] or "" for r in got], got, len(got) <= ahead
+
+
 def list_page(names: list[str], size: int = 0, after: str | None = None) -> tuple[list[str], str | None]:
     """Page of a sorted list of names; size 0 means all."""
     left = sorted(n for n in names if after is None or n > after)

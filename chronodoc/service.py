@@ -1,12 +1,14 @@
-"""The service layer: requests and responses as plain dictionaries, one plan per query."""
+"""The service layer: requests and responses as plain dictionaries, one plan per query or walk through its pages."""
 
 from __future__ import annotations
 
 import json
 import re
 import uuid
+from collections.abc import Callable
 from typing import Any
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronodoc.model import InvalidRequest, SequenceTooLow, Snapshot, StoreError, UniqueViolation, UnknownSnapshot
@@ -16,6 +18,8 @@ from chronodoc.sources.store import Op, Store, id_text
 
 #: fixed value: what a collection may be called
 COLLECTION_NAME = re.compile(r"^[A-Za-z0-9._-]{1,128}$")
+#: Walks through pages of which rows read ahead are held, the latest ones.
+WALKS = 4
 
 
 def problem(title: str, status: int, detail: str | None = None) -> dict:
@@ -28,6 +32,7 @@ class AdminService:
     def __init__(self, store: Store, secret: str | None = None):
         self.store, self.secret = store, secret
         self.snapshots: dict[str, Snapshot] = {}
+        self._walks: list[tuple[tuple, paging.Walk]] = []
 
     # -- health and catalog ---------------------------------------------------------------------------
 
@@ -98,22 +103,36 @@ class AdminService:
         if kind == "byId":
             one = self.get_record(collection, query["id"], snapshot_id)
             return {"items": [one] if one else [], "nextPageToken": None}
-        coll = self.store.collection(collection)
-        log = coll.log()
+        coll, index, extracted = self.store.collection(collection), None, None
         if kind == "indexEquals":
-            rows = by_index(log, coll.index(query["index"]), query["key"], snapshot)
+            index, asked = coll.index(query["index"]), query["key"]
+            extracted = self.store._extracted.get((collection, index.name))
+            rows = lambda: by_index(coll.log(), index, asked, snapshot)
             size, token = query.get("pageSize"), query.get("pageToken")
         elif kind == "scan":
-            prefix = query.get("prefix")
-            rows = versions.state_as_of(log.where(F.col("id").startswith(id_text(prefix)[:-1])) if prefix else log, snapshot)
+            asked = query.get("prefix")
+            rows = lambda: versions.state_as_of(coll.log().where(F.col("id").startswith(id_text(asked)[:-1])) if asked else coll.log(), snapshot)
             size, token = query.get("limit"), query.get("startAfter")
         else:
             raise InvalidRequest(f"unknown query type {kind!r}")
-        name = F.get_json_object("id", "$")
-        named = rows.withColumn("name", F.when(F.col("id").startswith('"'), F.from_json(F.concat(F.lit("["), "id", F.lit("]")), "array<string>")[0]).otherwise(name))
-        page = paging.fetch_page(named, size, self._open(token), key="name")
+        after = self._open(token)
+        about = (self.store.version, snapshot, collection, kind, index and index.name, extracted, repr(asked))
+        page = self._walk(about, rows).page(size, after)
         return {"items": [_record(r) for r in page.items], "nextPageToken": self._close(page.next_cursor)}
 
+    def _walk(self, about: tuple, rows: Callable[[], DataFrame]) -> paging.Walk:
+        """The walk that earlier pages of the same query began. The version of the store is part of ``about``: what a
+        version holds does not change, and any commit begins a new walk."""
+        for i, (known, walk) in enumerate(self._walks):
+            if known == about:
+                self._walks = [*self._walks[:i], *self._walks[i + 1 :], (known, walk)]
+                return walk
+        name = F.get_json_object("id", "$")
+        named = rows().withColumn("name", F.when(F.col("id").startswith('"'), F.from_json(F.concat(F.lit("["), "id", F.lit("]")), "array<string>")[0]).otherwise(name))
+        walk = paging.Walk(named.select("id", "seq", "deleted", "value", "version", "name"), "name")
+        self._walks = [*self._walks[1 - WALKS :], (about, walk)]
+        return walk
+
     # -- transactions ---------------------------------------------------------------------------------
 
     def commit_transaction(self, tx: dict) -> dict:

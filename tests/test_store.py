@@ -6,7 +6,7 @@ import random
 import pytest
 
 from chronodoc.model import InvalidRequest, SequenceTooLow, StoreOptions, UniqueViolation, UnknownIndex, UnknownSnapshot
-from chronodoc.operators import fulltext
+from chronodoc.operators import fulltext, paging
 from chronodoc.operators.versions import state_as_of
 from chronodoc.service import AdminService
 from chronodoc.sources.commitlog import CommitConflict
@@ -232,3 +232,42 @@ def test_service(store):
     assert a.release_snapshot(snap) and not a.release_snapshot(snap)
     assert a.compaction_run()["debtBytes"] == 0
     assert a.drop_collection("things")["deleted"] == 2
+
+
+def test_pages_of_a_walk_share_reads(store, monkeypatch):
+    c, a, reads = store.collection("things"), AdminService(store, secret="k"), []
+    a.define_index("things", {"name": "byTag", "kind": "multi", "keyPath": ".tag"})
+    names = [f"i{n:02}" for n in range(60)]
+    c.batch([(n, {"tag": "x"}) for n in names])
+    snap = a.create_snapshot()["id"]
+    store.clear_collection("things")
+    a.define_index("things", {"name": "byTag", "kind": "multi", "keyPath": ".tag"})
+    real = paging.page_rows
+    monkeypatch.setattr(paging, "page_rows", lambda *args, **kw: reads.append(1) or real(*args, **kw))
+    for q, token in (({"type": "scan", "limit": 3}, "startAfter"), ({"type": "indexEquals", "index": "byTag", "key": "x", "pageSize": 3}, "pageToken")):
+        pages, more = [], {}
+        reads.clear()
+        while True:
+            got = a.query("things", q | more, snap)
+            pages.append([i["id"] for i in got["items"]])
+            if got["nextPageToken"] is None:
+                break
+            more = {token: got["nextPageToken"]}
+        assert pages == [names[i : i + 3] for i in range(0, 60, 3)] and len(reads) <= 4
+    with pytest.raises(InvalidRequest):
+        a.query("things", {"type": "scan", "limit": 3, "startAfter": "i02"}, snap)
+    a.release_snapshot(snap)
+    with pytest.raises(UnknownSnapshot):
+        a.query("things", q, snap)
+
+
+def test_pages_see_commits_between_them(store):
+    c, a = store.collection("things"), AdminService(store)
+    c.batch([(f"i{n}", {"v": n}) for n in range(6)])
+    q = {"type": "scan", "limit": 2}
+    page = lambda t: [(i["id"], i["data"]["v"]) for i in a.query("things", q | {"startAfter": t})["items"]]
+    assert page("i0") == [("i1", 1), ("i2", 2)] and page("i2") == [("i3", 3), ("i4", 4)]
+    snap = a.create_snapshot()["id"]
+    c.batch([("i3", None), ("i4", {"v": 40})])
+    assert page("i2") == [("i4", 40), ("i5", 5)] and page("i0") == [("i1", 1), ("i2", 2)]
+    assert [i["data"]["v"] for i in a.query("things", q | {"startAfter": "i2"}, snap)["items"]] == [3, 4]

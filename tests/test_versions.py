@@ -122,6 +122,26 @@ def test_pages_and_tokens(spark):
             paging.unseal(bad, "k")
 
 
+def test_walk_gives_the_pages_of_single_reads(spark, monkeypatch):
+    names = [None, "", "a", "Z", "\u00e9", "\uffee", "\U0001f600", *[f"n{i:02}" for i in range(30)]]
+    df = spark.createDataFrame([(n, "x" * (200 if n == "n07" else 3)) for n in names], "id string, text string").cache()
+    monkeypatch.setattr(paging, "AHEAD_GROWTH", 3)
+    cursors = [None, "", "Z", "n00", "n29", "n05", "n05", "\uffee", "zzz", "n06"]
+    want = {(size, c): paging.fetch_page(df, size, c) for size in (1, 4) for c in cursors}
+    for rows, size in ((50_000, 8 << 20), (5, 8 << 20), (50_000, 100)):
+        monkeypatch.setattr(paging, "AHEAD_ROWS", rows)
+        monkeypatch.setattr(paging, "AHEAD_BYTES", size)
+        walk = paging.Walk(df)
+        assert all(walk.page(s, c) == p for (s, c), p in want.items())
+        seen, cursor = [], None
+        while cursor is not None or not seen:
+            page = walk.page(4, cursor)
+            seen += [r["id"] for r in page.items]
+            cursor = page.next_cursor
+            assert len(walk._held[2]) <= min(rows, 4 + size // 20) + 1
+        assert seen == [None, *sorted(names[1:])]
+
+
 def test_dense_sequences_and_batches(spark, log, rows):
     ops = spark.createDataFrame([(i, i % 7, False, f"t{i}") for i in range(200)], "op_index long, id long, deleted boolean, tag string")
     numbered = batch.dense_sequence(ops.repartition(5), "op_index", 10)
